@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import repeated_lines, textform
+from siltstone.llm import near_duplicates, repeated_lines, textform
 from siltstone.runtime import table
 
 
@@ -21,8 +21,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "all_documents").select("row_id", "file_name", "content")
+    lean = repeated_lines.without_repeated_lines(chunks, "row_id", "file_name", "content", "lean")
+    texts = lean.select("row_id", near_duplicates.plain(textform.consistent(F.col("lean"))).alias("t"))
+    return near_duplicates.group_pairs(near_duplicates.near_duplicates(texts, threshold=0.5))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p4_found": p4_found,
 }
 ORACLES: dict[str, str] = {}
