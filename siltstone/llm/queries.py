@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import near_duplicates, repeated_lines, textform
+from siltstone.llm import answer_defects, near_duplicates, repeated_lines, textform
 from siltstone.runtime import table
 
 
@@ -28,9 +28,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.group_pairs(near_duplicates.near_duplicates(texts, threshold=0.5))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return answer_defects.answer_defects(table(spark, sf, "testset"), "item_id", "query", "reference")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p4_found": p4_found,
+    "p5_found": p5_found,
 }
 ORACLES: dict[str, str] = {}
