@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import answer_defects, near_duplicates, repeated_lines, textform
+from siltstone.llm import answer_defects, near_duplicates, repeated_lines, scanned_pages, textform
 from siltstone.runtime import table
 
 
@@ -21,6 +21,10 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scanned_pages.page_defects(table(spark, sf, "text_blocks"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "all_documents").select("row_id", "file_name", "content")
     lean = repeated_lines.without_repeated_lines(chunks, "row_id", "file_name", "content", "lean")
@@ -35,6 +39,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
 }
