@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import answer_defects, near_duplicates, repeated_lines, scanned_pages, textform
+from siltstone.llm import answer_defects, markup, near_duplicates, repeated_lines, scanned_pages, textform
 from siltstone.runtime import table
 
 
@@ -36,11 +36,16 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return answer_defects.answer_defects(table(spark, sf, "testset"), "item_id", "query", "reference")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.markup_languages(table(spark, sf, "all_documents"), "row_id", "content")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
 }
 ORACLES: dict[str, str] = {}
