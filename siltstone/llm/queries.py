@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import answer_defects, markup, near_duplicates, repeated_lines, scanned_pages, textform
+from siltstone.llm import answer_defects, leakage, markup, near_duplicates, repeated_lines, scanned_pages, textform
 from siltstone.runtime import table
 
 
@@ -40,6 +40,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return markup.markup_languages(table(spark, sf, "all_documents"), "row_id", "content")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leakage.leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "heldout_items"))
+    return found.select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -47,5 +52,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p8_found": p8_found,
 }
 ORACLES: dict[str, str] = {}
