@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import answer_defects, leakage, markup, near_duplicates, repeated_lines, scanned_pages, textform
+from siltstone.llm import answer_defects, leakage, markup, near_duplicates, packing, repeated_lines, scanned_pages, subject_areas, textform
 from siltstone.runtime import table
 
 
@@ -40,11 +40,24 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return markup.markup_languages(table(spark, sf, "all_documents"), "row_id", "content")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.cut_texts(packing.packing(table(spark, sf, "documents"), table(spark, sf, "pack_specs")))
+
+
+def p7_unused_room(spark: SparkSession, sf: str) -> DataFrame:
+    specs = table(spark, sf, "pack_specs")
+    return packing.unused_room(packing.packing(table(spark, sf, "documents"), specs), specs)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     found = leakage.leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "heldout_items"))
     return found.select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subject_areas.subject_areas(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "subjects"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -52,6 +65,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_unused_room": p7_unused_room,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+}
+ORACLES: dict[str, str] = {
+    "p7_found": """
+        SELECT s.spec_id, d.doc_id FROM documents d, pack_specs s
+        WHERE strlen(d.text) > s.capacity_tokens AND regexp_matches(d.text, '\\S')
+    """,
 }
-ORACLES: dict[str, str] = {}
