@@ -1,15 +1,491 @@
-"""The registered queries over the test tables, and the SQL that checks them."""
+"""The registered queries over the test tables, and the SQL that checks them.
+
+Search queries take every row of the query table whose id is divisible by 100,
+against all chunks. All other queries run over their whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import chunking, metrics, similarity, text
+from siltstone.operators import bm25, evaluation, filters, fusion, layout, memory, rerank, search, tools, vector
+from siltstone.runtime import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return register
+
+
+# --- shared inputs ---------------------------------------------------------------------
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "all_documents").filter("content is not null")
+    return t.select(F.col("row_id").alias("key"), F.col("content").alias("text"), "file_name", "company", "title", "broker", "report_date", "chunk_id", "page_num")
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "testset").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "query")
+
+
+def _hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    return bm25.search(_asked(spark, sf), _chunks(spark, sf), "key", "text", k)
+
+
+TOKENS = r"""regexp_extract_all(regexp_replace(lower(trim(replace({0}, chr(10), ' '))), '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', '', 'g'), '[a-zA-Z]+|[一-龥]|[0-9]+')"""
+_DOCS = f"d AS (SELECT row_id AS key, {TOKENS.format('content')} AS tokens FROM all_documents WHERE content IS NOT NULL)"
+_STATS = """
+    c AS (SELECT count(*) AS n, avg(len(tokens)) AS average FROM d),
+    f AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM d) GROUP BY term),
+    r AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM f, c),
+    i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r)
+"""
+_HITS = f"""{_DOCS}, {_STATS},
+    q AS (SELECT item_id AS query_id, query FROM testset WHERE item_id % 100 = 0),
+    w AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format('query')}) AS term FROM q) GROUP BY ALL),
+    p AS (SELECT key, length, term, count(*) AS tf FROM (SELECT key, len(tokens) AS length, unnest(tokens) AS term FROM d) GROUP BY ALL),
+    s AS (SELECT query_id, key, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average))), 6) AS score
+          FROM w JOIN i USING (term) JOIN p USING (term), c GROUP BY ALL),
+    h AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM s QUALIFY rank <= 10)
+"""
+
+
+# --- text functions ----------------------------------------------------------------------
+
+
+@query(f"WITH {_DOCS} SELECT key, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS token_md5 FROM d")
+def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
+    t = bm25.tokenised(_chunks(spark, sf), "key", "text")
+    return t.select("key", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("token_md5"))
+
+
+@query(r"""SELECT row_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(content, chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
+    '^\s+|\s+$', '', 'g')) AS clean_md5 FROM all_documents""")
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "all_documents").select("row_id", F.md5(text.clean(F.col("content"))).alias("clean_md5"))
+
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(replace(coalesce({0}, ''), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""SELECT row_id, length(t) < 30 OR regexp_matches(t, '{"|".join(text.NOISE_WORDS)}')
+    OR length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g'))::DOUBLE / length(t) < 0.45 AS noise
+    FROM (SELECT row_id, {_CLEAN.format("content")} AS t FROM all_documents)""")
+def noise_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "all_documents").select("row_id", text.is_noise(F.col("content")).alias("noise"))
+
+
+@query("""SELECT row_id, coalesce(
+    CASE WHEN regexp_matches(file_stem, '20\\d{2}[-/\\.年]\\d{1,2}[-/\\.月]\\d{1,2}') THEN regexp_extract(file_stem, '(20\\d{2})[-/\\.年](\\d{1,2})[-/\\.月](\\d{1,2})', 1) || '-'
+      || lpad(regexp_extract(file_stem, '(20\\d{2})[-/\\.年](\\d{1,2})[-/\\.月](\\d{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(file_stem, '(20\\d{2})[-/\\.年](\\d{1,2})[-/\\.月](\\d{1,2})', 3), 2, '0') END,
+    CASE WHEN regexp_matches(file_stem, '20\\d{6}') THEN regexp_extract(file_stem, '(20\\d{2})(\\d{2})(\\d{2})', 1) || '-' || regexp_extract(file_stem, '(20\\d{2})(\\d{2})(\\d{2})', 2) || '-'
+      || regexp_extract(file_stem, '(20\\d{2})(\\d{2})(\\d{2})', 3) END) AS date FROM all_documents""")
+def regex_date(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "all_documents").select("row_id", text.report_date(F.col("file_stem")).alias("date"))
+
+
+_ORG = "银行|证券|集团|股份|科技|信息|药业|电子|能源|通信|汽车|工业|软件|智能|航空|半导体"
+
+
+@query(f"""SELECT row_id, coalesce(
+    nullif(regexp_extract(title, '([一-龥A-Za-z]{{2,20}}(?:{_ORG}))', 1), ''), nullif(regexp_extract(title, '([一-龥]{{2,12}})（\\d{{6}}(?:\\.SH|\\.SZ)?）', 1), ''),
+    nullif(regexp_extract(title, '([一-龥]{{2,12}})\\(\\d{{6}}(?:\\.SH|\\.SZ)?\\)', 1), ''),
+    nullif(regexp_extract(left(content, 3000), '([一-龥A-Za-z]{{2,20}}(?:{_ORG}))', 1), ''), nullif(regexp_extract(left(content, 3000), '([一-龥]{{2,12}})（\\d{{6}}(?:\\.SH|\\.SZ)?）', 1), ''),
+    nullif(regexp_extract(left(content, 3000), '([一-龥]{{2,12}})\\(\\d{{6}}(?:\\.SH|\\.SZ)?\\)', 1), '')) AS company FROM all_documents""")
+def regex_company(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "all_documents").select("row_id", text.company(F.col("title"), F.col("content")).alias("company"))
+
+
+@query("""SELECT row_id, CASE WHEN regexp_matches(p, '证券|研究所|投顾|基金|资管') AND length(p) BETWEEN 2 AND 20 THEN p
+    ELSE nullif(regexp_extract(file_stem, '([一-龥A-Za-z]{2,20}证券)', 1), '') END AS broker
+    FROM (SELECT row_id, file_stem, trim(regexp_split_to_array(file_stem, '[_\\-—]+')[1]) AS p FROM all_documents)""")
+def broker_from_name(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "all_documents").select("row_id", text.broker(F.col("file_stem")).alias("broker"))
+
+
+@query("SELECT row_id, file_name || '::page_' || page_num || '::chunk_' || left(md5(content), 12) AS chunk_key FROM all_documents")
+def md5_chunk_key(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "all_documents").select("row_id", text.chunk_key(F.col("file_name"), F.col("page_num"), F.col("content")).alias("chunk_key"))
+
+
+@query(f"""SELECT item_id, CASE WHEN regexp_matches(b, '{text.CHAT}') THEN 'chat' WHEN regexp_matches(b, '{text.UNCLEAR}') OR length(b) <= 2 THEN 'unclear' ELSE 'rag_qa' END AS intent
+    FROM (SELECT item_id, regexp_replace(lower(trim(query)), '{text.INTENT_SIGNS.replace("'", "''")}', '', 'g') AS b FROM testset)""")
+def route_intent(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "testset").select("item_id", text.intent(F.col("query")).alias("intent"))
+
+
+@query("""SELECT row_id, n, md5(w) AS window_md5 FROM (
+    SELECT doc_id AS row_id, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, length(text), 800) END) AS s, s // 800 AS n,
+      CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, s + 1, 1000) END AS w FROM documents WHERE text IS NOT NULL)""")
+def fixed_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "documents").filter("text is not null")
+    return t.select(F.col("doc_id").alias("row_id"), F.posexplode(chunking.windows(F.col("text"))).alias("n", "w")).select("row_id", F.col("n").cast("bigint").alias("n"), F.md5("w").alias("window_md5"))
+
+
+@query()
+def recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "documents")
+    return t.select("doc_id", F.posexplode(chunking.chunks(F.col("text"))).alias("n", "chunk")).withColumn("n", F.col("n") + 1)
+
+
+@query()
+def markdown_segments(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "all_documents")
+    return t.select("row_id", F.posexplode(chunking.pair_segments(F.col("content"))).alias("n", "segment"))
+
+
+@query(r"""SELECT item_id, CASE WHEN len(u) > 0 THEN round(len(list_intersect(x, y))::DOUBLE / len(u), 6) ELSE 0.0 END AS jaccard FROM (
+    SELECT item_id, x, y, list_distinct(list_concat(x, y)) AS u FROM (
+      SELECT item_id, list_distinct(regexp_extract_all(lower(query), '[\p{L}\p{N}_]')) AS x, list_distinct(regexp_extract_all(lower(coalesce(reference, '')), '[\p{L}\p{N}_]')) AS y FROM testset))""")
+def char_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "testset")
+    return t.select("item_id", F.round(similarity.char_jaccard(F.col("query"), F.coalesce("reference", F.lit(""))), 6).alias("jaccard"))
+
+
+@query("SELECT event_id, event_type, (props::JSON ->> '$.k')::BIGINT AS k, length(props) <= 4000 AS small FROM events WHERE (props::JSON ->> '$.k')::BIGINT >= 50")
+def json_filters(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"), (F.length("props") <= 4000).alias("small"))
+    return t.filter("k >= 50")
+
+
+# --- retrieval ---------------------------------------------------------------------------
+
+
+@query(f"WITH {_DOCS} SELECT key, len(tokens) AS length FROM d")
+def bm25_doc_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.document_stats(bm25.tokenised(_chunks(spark, sf), "key", "text"))
+
+
+@query(f"WITH {_DOCS}, {_STATS} SELECT term, df, round(idf, 6) AS idf FROM i")
+def bm25_term_idf(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.term_stats(bm25.tokenised(_chunks(spark, sf), "key", "text")).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_HITS} SELECT * FROM h")
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _hits(spark, sf)
+
+
+def _vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+_VECTORS = """v AS (SELECT a.vec_id AS query_id, b.vec_id AS key,
+        round(1 - (2 - 2 * list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / sqrt(2.0::DOUBLE), 6) AS score,
+        row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id) AS rank
+      FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {_VECTORS} SELECT * FROM v")
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return vector.search(_vector_queries(spark, sf), table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+@query(f"WITH {_VECTORS} SELECT * FROM v WHERE score >= 0.1")
+def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return vector.search(_vector_queries(spark, sf), table(spark, sf, "embeddings"), "vec_id", "embedding", threshold=0.1)
+
+
+@query(f"""WITH {_HITS}, {_VECTORS},
+    e AS (SELECT md5(content) AS m, min(row_id) AS identity FROM all_documents WHERE content IS NOT NULL GROUP BY ALL),
+    names AS (SELECT row_id AS key, identity FROM all_documents JOIN e ON md5(content) = m),
+    lists AS (SELECT query_id, identity, min(rank) AS rank, 0.8::DOUBLE AS weight FROM v JOIN names USING (key) WHERE query_id IN (SELECT query_id FROM q) GROUP BY ALL
+      UNION ALL SELECT query_id, identity, min(rank), 0.2::DOUBLE FROM h JOIN names USING (key) GROUP BY ALL),
+    fused AS (SELECT query_id, identity AS key, round(sum(weight / (rank + 60)), 6) AS score FROM lists GROUP BY ALL)
+    SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM fused QUALIFY rank <= 30""")
+def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    asked = _asked(spark, sf).join(vectors.withColumnRenamed("key", "query_id"), "query_id", "left")
+    return search.search(asked, _chunks(spark, sf), vectors, "hybrid", threshold=None)
+
+
+_PART = "hf AS (SELECT h.*, lower(a.content) AS t, a.* FROM h JOIN all_documents a ON a.row_id = h.key)"
+
+
+@query(f"""WITH {_HITS}, {_PART}, m AS (SELECT query_id, key, rank, contains(lower(concat_ws(' ', content, company, title)), '2019') AS ok FROM hf)
+    SELECT query_id, key, rank FROM m QUALIFY ok OR NOT max(ok) OVER (PARTITION BY query_id)""")
+def soft_filter(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).join(_chunks(spark, sf), "key")
+    ok = filters.all_values(F.array(F.lit("2019"), F.lit("")), filters.searchable(F.col("text"), F.col("company"), F.col("title")))
+    return filters.soft(hits, ok).select("query_id", "key", "rank")
+
+
+@query(f"WITH {_HITS}, {_PART} SELECT query_id, key, rank FROM hf WHERE NOT contains(t, '子公司') AND NOT contains(t, 'note')")
+def hard_exclude(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).join(_chunks(spark, sf), "key")
+    return filters.exclude(hits, F.array(F.lit("子公司"), F.lit("Note")), F.col("text")).select("query_id", "key", "rank")
+
+
+@query(f"""WITH {_HITS}, {_PART}, m AS (SELECT query_id, key, rank, contains(t, '营业收入') AND contains(t, '2020') AS ok FROM hf)
+    SELECT query_id, key, rank FROM m QUALIFY ok OR NOT max(ok) OVER (PARTITION BY query_id)""")
+def soft_required(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).join(_chunks(spark, sf), "key")
+    return filters.soft(hits, filters.all_values(F.array(F.lit("营业收入"), F.lit("2020")), F.lower("text"))).select("query_id", "key", "rank")
+
+
+@query(f"""WITH {_HITS}, {_PART} SELECT query_id, key, rank FROM hf
+    QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(file_name, ''), coalesce(page_num::VARCHAR, '') ORDER BY rank) = 1""")
+def hit_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).join(_chunks(spark, sf), "key")
+    return fusion.deduplicate(hits, ["file_name", "page_num"], [F.col("rank")]).select("query_id", "key", "rank")
+
+
+@query(f"""WITH {_HITS}, b AS (SELECT query_id, key, rank, rank % 3 AS sub_query, row_number() OVER (PARTITION BY query_id, rank % 3 ORDER BY rank) AS turn FROM h)
+    SELECT query_id, key, sub_query, row_number() OVER (PARTITION BY query_id ORDER BY turn, sub_query) AS position FROM b QUALIFY position <= 5""")
+def round_robin_balance(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).withColumn("sub_query", F.col("rank") % 3)
+    return fusion.balance(hits, 5).select("query_id", "key", "sub_query", "position")
+
+
+@query()
+def structured_search(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _asked(spark, sf)
+    none = F.array().cast("array<string>")
+    questions = asked.select("query_id", F.array("query", F.concat(F.lit("营业收入 "), "query")).alias("sub_queries"), F.array(F.lit("2020")).alias("filter_values"), none.alias("exclude_terms"), none.alias("required_terms"), F.lit(6).alias("top_k"))
+    return search.structured(questions, _chunks(spark, sf))
+
+
+@query()
+def rerank_max_segment(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).select("query_id", "key").join(_asked(spark, sf), "query_id").join(_chunks(spark, sf).select("key", "text"), "key")
+    return rerank.rerank(hits)
+
+
+@query("""WITH p AS (SELECT row_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_num NULLS FIRST, row_id) AS at FROM all_documents)
+    SELECT t.row_id AS target, n.row_id AS key, n.at - t.at AS distance, CASE WHEN n.at = t.at THEN 'target' ELSE 'neighbor' END AS relation
+    FROM p t JOIN p n ON t.doc_id = n.doc_id AND n.at BETWEEN t.at - 1 AND t.at + 1 WHERE t.row_id % 100 = 0""")
+def context_expand(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "all_documents")
+    return tools.expand(t, t.filter("row_id % 100 = 0"), "row_id", "doc_id", ["page_num", "row_id"])
+
+
+@query("""SELECT doc_id, row_id, file_name, title, company, broker, report_date FROM all_documents WHERE coalesce(doc_id, '') <> ''
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY row_id) = 1""")
+def report_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.catalog(table(spark, sf, "all_documents"), "doc_id", ["row_id", "file_name", "title", "company", "broker", "report_date"], ["row_id"])
+
+
+@query("""WITH f AS (SELECT doc_id, row_id, file_name, title, company, broker, report_date FROM all_documents WHERE coalesce(doc_id, '') <> ''
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY row_id) = 1)
+    SELECT * FROM f WHERE coalesce(starts_with(report_date, '2021'), false) OR contains(lower(concat_ws(' ', company, title, file_name, broker)), '2021') ORDER BY row_id, doc_id LIMIT 20""")
+def report_catalog_year(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.catalog(table(spark, sf, "all_documents"), "doc_id", ["row_id", "file_name", "title", "company", "broker", "report_date"], ["row_id"], year="2021", limit=20)
+
+
+@query(f"""WITH {_HITS}, {_PART} SELECT query_id, md5(string_agg('[' || rank || '] ' || CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END, chr(10) || chr(10) ORDER BY rank)) AS context_md5
+    FROM hf GROUP BY query_id""")
+def context_render(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).join(_chunks(spark, sf).select("key", "text"), "key")
+    return tools.context(hits).select("query_id", F.md5("context").alias("context_md5"))
+
+
+@query(f"WITH {_HITS}, {_PART} SELECT query_id, rank, file_name, page_num, chunk_id, left(content, 180) AS snippet FROM hf")
+def citations(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.citations(_hits(spark, sf).join(_chunks(spark, sf), "key"))
+
+
+@query(f"WITH {_HITS} SELECT query_id, coalesce(score >= 20, true) AS passed FROM h WHERE rank = 1")
+def judge_top1(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.relevant_enough(_hits(spark, sf), 20.0)
+
+
+# --- metrics -----------------------------------------------------------------------------
+
+_YEARS = """t AS (SELECT year(o_orderdate) AS year, sum(o_totalprice::DECIMAL(20,6))::DECIMAL(20,6) AS total FROM orders GROUP BY ALL),
+    y AS (SELECT t.year, t.total, b.total AS previous FROM t LEFT JOIN t b ON b.year = t.year - 1)"""
+
+
+def _years(spark: SparkSession, sf: str) -> DataFrame:
+    years = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast(metrics.AMOUNT)).cast(metrics.AMOUNT).alias("total"))
+    before = years.select((F.col("year") + 1).alias("year"), F.col("total").alias("previous"))
+    return years.join(before, "year", "left")
+
+
+def _metric(operation: str, precision: int, sql: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        amounts = [F.col("total"), F.col("previous")]
+        return _years(spark, sf).select("year", metrics.metric(operation, amounts, precision).alias("value"))
+
+    QUERIES[f"metric_{operation}"] = run
+    ORACLES[f"metric_{operation}"] = f"WITH {_YEARS} SELECT year, round({sql}, {precision})::DOUBLE AS value FROM y"
+
+
+_metric("sum", 2, "total + previous")
+_metric("difference", 2, "total - previous")
+_metric("ratio", 4, "total::DOUBLE / previous")
+_metric("growth_rate", 4, "(total - previous)::DOUBLE / abs(previous) * 100")
+_metric("gross_margin", 4, "CASE WHEN total <> 0 THEN (total - previous)::DOUBLE / total * 100 END")
+
+
+# --- layout ------------------------------------------------------------------------------
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "text_blocks")
+
+
+@query("""SELECT b.block_id FROM text_blocks b WHERE coalesce(b.block_type, '') <> 'table' AND NOT EXISTS (SELECT 1 FROM text_blocks t WHERE t.block_type = 'table'
+    AND t.doc_id IS NOT DISTINCT FROM b.doc_id AND t.page = b.page AND b.x1 + 6 >= t.x0 AND t.x1 + 6 >= b.x0 AND b.y1 + 6 >= t.y0 AND t.y1 + 6 >= b.y0)""")
+def spatial_antijoin(spark: SparkSession, sf: str) -> DataFrame:
+    t = _blocks(spark, sf)
+    return layout.outside_tables(t.filter("coalesce(block_type, '') <> 'table'"), t.filter("block_type = 'table'")).select("block_id")
+
+
+_SIGNS = r"list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]'))"
+
+
+@query(f"""WITH b AS (SELECT *, {_SIGNS.format("text")} AS s FROM text_blocks), n AS (SELECT * FROM b WHERE source = 'native'), o AS (SELECT * FROM b WHERE source = 'ocr'),
+    m AS (SELECT o.block_id, greatest(0, least(o.x1, n.x1) - greatest(o.x0, n.x0)) * greatest(0, least(o.y1, n.y1) - greatest(o.y0, n.y0)) AS i,
+            (o.x1 - o.x0) * (o.y1 - o.y0) + (n.x1 - n.x0) * (n.y1 - n.y0) AS a, len(list_intersect(o.s, n.s)) AS c, len(o.s) + len(n.s) AS l
+          FROM o JOIN n ON o.doc_id = n.doc_id AND o.page = n.page)
+    SELECT block_id, source FROM n UNION ALL SELECT block_id, source FROM o WHERE confidence > 0.6 AND block_id NOT IN (SELECT block_id FROM m WHERE a - i > 0 AND i / (a - i) > 0.5 AND l - c > 0 AND c::DOUBLE / (l - c) > 0.8)""")
+def iou_jaccard_merge(spark: SparkSession, sf: str) -> DataFrame:
+    t = _blocks(spark, sf)
+    return layout.fuse_sources(t.filter("source = 'native'"), t.filter("source = 'ocr'"), "block_id").select("block_id", "source")
+
+
+@query("""WITH w AS (SELECT *, max(x1) OVER p + 1 AS width FROM text_blocks WINDOW p AS (PARTITION BY doc_id, page)),
+    z AS (SELECT *, CASE WHEN x0 < width / 2 AND x1 > width / 2 OR x1 - x0 > 0.7 * width THEN 'cross' WHEN (x0 + x1) / 2 < width / 2 THEN 'left' ELSE 'right' END AS zone FROM w),
+    c AS (SELECT *, sum((zone = 'left')::INT) OVER p >= 3 AND sum((zone = 'right')::INT) OVER p >= 3 AS two_columns FROM z WINDOW p AS (PARTITION BY doc_id, page))
+    SELECT block_id, zone, two_columns, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN NOT two_columns OR zone = 'cross' THEN 0 WHEN zone = 'left' THEN 1 ELSE 2 END, y0, x0, block_id) AS reading_order FROM c""")
+def layout_two_column(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.columns(_blocks(spark, sf), "block_id").select("block_id", "zone", "two_columns", "reading_order")
+
+
+@query(r"""SELECT block_id FROM text_blocks WHERE NOT (trim(coalesce(text, '')) = '' OR y1 <= 840 * 0.06 OR y0 >= 840 * (1 - 0.06::DOUBLE)
+    OR coalesce(regexp_full_match(trim(text), '\d{1,3}|-\s*\d{1,3}\s*-|第\s*\d+\s*页'), false))""")
+def header_footer_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _blocks(spark, sf).filter(~F.coalesce(layout.is_head_or_foot(), F.lit(False))).select("block_id")
+
+
+@query(r"""SELECT block_id, CASE WHEN y0 < 840 * 0.08::DOUBLE THEN 'header' WHEN y1 > 840 * 0.92::DOUBLE THEN 'footer'
+    WHEN length(text) < 50 AND (text = upper(text) AND regexp_matches(text, '[A-Z]') OR regexp_matches(text, '^(?:\d+(?:\.\d+)*[\s、.]|第[一二三四五六七八九十]+[章节]|[一二三四五六七八九十]+、)')) THEN 'title' ELSE 'text' END AS kind FROM text_blocks""")
+def block_type(spark: SparkSession, sf: str) -> DataFrame:
+    return _blocks(spark, sf).select("block_id", text.block_type(F.col("text"), F.col("y0"), F.col("y1"), 840.0).alias("kind"))
+
+
+@query("""SELECT doc_id, page, md5('## Page ' || page || chr(10) || chr(10) || string_agg(CASE WHEN block_type = 'title' THEN '### ' || text WHEN block_type IN ('header', 'footer') THEN '*' || text || '*' ELSE text END,
+    chr(10) || chr(10) ORDER BY y0, x0, block_id)) AS markdown_md5 FROM text_blocks WHERE text IS NOT NULL GROUP BY doc_id, page""")
+def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.page_markdown(_blocks(spark, sf), "block_id").select("doc_id", "page", F.md5("markdown").alias("markdown_md5"))
+
+
+@query("""WITH c AS (SELECT doc_id, page, source, count(*) AS n FROM text_blocks GROUP BY ALL),
+    s AS (SELECT doc_id, page, source AS main_source FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, source) = 1),
+    t AS (SELECT doc_id, page, count(*) AS blocks, round(avg(confidence), 6) AS mean_confidence FROM text_blocks GROUP BY ALL)
+    SELECT t.*, main_source FROM t JOIN s ON t.doc_id IS NOT DISTINCT FROM s.doc_id AND t.page = s.page""")
+def page_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.page_summary(_blocks(spark, sf))
+
+
+@query()
+def paragraph_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.paragraphs(_blocks(spark, sf), "block_id")
+
+
+@query()
+def line_grouping(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.lines(_blocks(spark, sf), "block_id")
+
+
+@query()
+def unique_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.unique_boxes(_blocks(spark, sf), "block_id")
+
+
+# --- history -----------------------------------------------------------------------------
+
+
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions and answers of the evaluation set as the messages of 50 sessions."""
+    t = table(spark, sf, "testset")
+    both = F.explode(F.array(F.struct(F.lit("user").alias("role"), F.col("query").alias("text"), F.lit(0).alias("o")), F.struct(F.lit("assistant").alias("role"), F.col("reference").alias("text"), F.lit(1).alias("o"))))
+    m = t.select((F.col("item_id") % 50).alias("session"), "item_id", both.alias("m"))
+    return m.filter("m.text is not null").select("session", (F.col("item_id") * 2 + F.col("m.o")).alias("turn"), F.col("m.role").alias("role"), F.col("m.text").alias("text"))
+
+
+_MESSAGES = """m AS (SELECT item_id % 50 AS session, item_id * 2 AS turn, 'user' AS role, query AS text FROM testset WHERE query IS NOT NULL
+    UNION ALL SELECT item_id % 50, item_id * 2 + 1, 'assistant', reference FROM testset WHERE reference IS NOT NULL)"""
+
+
+@query(f"WITH {_MESSAGES} SELECT session, turn, role FROM m QUALIFY row_number() OVER (PARTITION BY session ORDER BY turn DESC) <= 6")
+def history_last_n(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.last_turns(_messages(spark, sf), 3).select("session", "turn", "role")
+
+
+@query(f"""WITH {_MESSAGES}, n AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS t FROM m WINDOW w AS (PARTITION BY session ORDER BY turn))
+    SELECT session, turn, md5(text) AS question_md5, md5(t) AS answer_md5 FROM n WHERE role = 'user' AND r = 'assistant'""")
+def qa_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.pairs(_messages(spark, sf)).select("session", "turn", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
+
+
+@query()
+def memory_recall(spark: SparkSession, sf: str) -> DataFrame:
+    asked = table(spark, sf, "retrieval_gt").select("query_id", (F.col("query_id") % 50).alias("session"), "query")
+    return memory.recall(asked, _messages(spark, sf))
+
+
+# --- evaluation --------------------------------------------------------------------------
+
+
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Hits of the questions, and as truth the chunks of the file of each first hit."""
+    hits = _hits(spark, sf).join(_chunks(spark, sf).select("key", "chunk_id", F.col("file_name").alias("source")), "key")
+    files = hits.filter("rank = 1").select("query_id", "source")
+    chunks = table(spark, sf, "all_documents").select(F.col("file_name").alias("source"), "chunk_id").filter("chunk_id is not null")
+    truth = files.join(chunks, "source").groupBy("query_id").agg(F.collect_set("chunk_id").alias("gt"))
+    return hits, truth
+
+
+_JUDGED = f"""{_HITS}, hs AS (SELECT h.*, chunk_id, file_name AS source FROM h JOIN all_documents ON row_id = key),
+    g AS (SELECT DISTINCT query_id, a.chunk_id FROM hs JOIN all_documents a ON a.file_name = hs.source WHERE rank = 1 AND a.chunk_id IS NOT NULL),
+    n AS (SELECT query_id, count(*) AS gt FROM g GROUP BY ALL),
+    x AS (SELECT n.query_id, gt, count(hs.chunk_id) AS retrieved, count(g.chunk_id) AS in_gt, count(DISTINCT g.chunk_id) AS hit
+      FROM n LEFT JOIN hs USING (query_id) LEFT JOIN g ON g.query_id = n.query_id AND g.chunk_id = hs.chunk_id GROUP BY ALL),
+    metric AS (SELECT query_id, retrieved, hit, round(hit::DOUBLE / gt, 6) AS recall, round(in_gt::DOUBLE / retrieved, 6) AS precision, round(1 - in_gt::DOUBLE / retrieved, 6) AS noise FROM x)"""
+
+
+@query(f"WITH {_JUDGED} SELECT * FROM metric")
+def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.retrieval_metrics(*_judged(spark, sf))
+
+
+@query(f"WITH {_JUDGED} SELECT count(*) AS queries, round(avg(recall), 4) AS avg_recall, round(avg(precision), 4) AS avg_precision, round(avg(noise), 4) AS avg_noise FROM metric")
+def retrieval_metrics_avg(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.averages(evaluation.retrieval_metrics(*_judged(spark, sf)))
+
+
+@query(f"""WITH {_JUDGED}, best AS (SELECT query_id, key AS positive, source AS s FROM hs WHERE rank = 1 AND score >= 0.15)
+    SELECT query_id, positive, arg_min(key, rank) AS negative FROM hs JOIN best USING (query_id) WHERE source <> s AND query_id IN (SELECT query_id FROM hs GROUP BY ALL HAVING count(*) >= 5) GROUP BY ALL""")
+def hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.hard_negatives(_judged(spark, sf)[0])
+
+
+@query(f"WITH {_JUDGED} SELECT query_id, array_to_string(list(chunk_id ORDER BY rank), '|') AS gt FROM (SELECT query_id, chunk_id, min(rank) AS rank FROM hs WHERE score > 30 GROUP BY ALL) GROUP BY query_id")
+def gt_auto_label(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.auto_labels(_judged(spark, sf)[0], 30.0).select("query_id", F.array_join("gt", "|").alias("gt"))
+
+
+@query("""WITH u AS (SELECT * FROM reranker_triplets WHERE trim(coalesce(query, '')) <> '' AND trim(coalesce(positive_doc, '')) <> '' AND trim(coalesce(negative_doc, '')) <> '')
+    SELECT triplet_id, query, positive_doc AS passage, 1 AS label FROM u UNION ALL SELECT triplet_id, query, negative_doc, 0 FROM u""")
+def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.training_pairs(table(spark, sf, "reranker_triplets"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Top documents of a batch of queries by fused rank."""
-    return QUERIES["hybrid_rrf"](spark, sf)
+    """Hybrid retrieval over the chunk store."""
+    return hybrid_rrf(spark, sf)
