@@ -70,8 +70,8 @@ _LEX = re.compile(
     |(?P<mathopen>\\[(\[]|\\[)\]])
     |(?P<math>\$\$[^$]{1,400}\$\$|(?<![\\A-Za-z0-9])\$[^$\n]{1,200}\$(?!\d)|(?<=[a-z0-9])\$\\[^$\n]{1,200}\$)
     |(?P<separator>^[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-*:?[ \t]*)$)
-    |(?P<row>^[ \t]*\|(?:[^|\n]*\|){2,}[ \t]*$)
-    |(?P<wikicell>^[ \t]*[|!][ \t][^\n]*$)
+    |(?P<row>^[ \t]*\|(?=(?:[^|\n]*\|){2,}[ \t]*$))
+    |(?P<wikicell>^[ \t]*[|!](?=[ \t])|\|\||!!)
     |(?P<code>(?<!`)`[^`\n]+`(?!`))
     |(?P<heading>^\#{1,6}[ \t]+(?=\S))
     |(?P<bold>\*\*|__(?=\S)(?=[^_\n]+__)|(?<=\S)__(?![A-Za-z0-9_]))
@@ -269,8 +269,7 @@ def _plain(text: str, p: Place) -> str:
     if p.kind == "wikihead":
         return "#" * (len(piece) - len(piece.lstrip("="))) + " " + piece.strip("= \t")
     if p.kind in ("wikirow", "wikicell"):
-        cells = re.split(r"\|\|?|!!", piece.strip(" \t|!").lstrip("-"))
-        return "| " + " | ".join(c.strip() for c in cells) + " |" if any(c.strip() for c in cells) else ""
+        return "" if "-" in piece else "|"
     if p.kind in ("row", "heading", "math", "code", "fence", "bullet", "number"):
         return re.sub(r"^([ \t]*)[+*]", r"\1-", piece) if p.kind == "bullet" else piece
     if p.kind in ("image", "mdlink"):

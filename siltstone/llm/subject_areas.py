@@ -26,14 +26,14 @@ from siltstone.llm.textform import canonical
 
 #: Labelled documents used at most, the first by a hash of their id.
 SAMPLE = 2_000
-#: Documents a term needs, the share of its sentences in documents of its subject, and its gain over the subject's rate.
+#: Documents a term needs, the share of its sentences in documents of its subject, and its gain in odds over the subject's rate.
 TERM_DOCS, TERM_SHARE, TERM_GAIN = 3, 0.55, 3.0
 #: Share of a document's sentences from which a subject counts.
 LEAST_SHARE = 1 / 6
 #: Combinations kept at each link of the chain.
 BEAM = 8
 
-_END = re.compile(r"[。！？!?]+[”’\"')）】»]*|\.(?=\s+[A-Z«“\"(]|\s*$|[一-鿿])")
+_END = re.compile(r"[。！？!?]+[”’\"')）】»]*|\.(?=\s+[A-Z«“\"(一-鿿]|\s*$|[一-鿿])")
 _HAN = re.compile("[一-鿿]+")
 _WORD = re.compile("[a-zà-ɏ]+(?:-[a-z]+)*")
 
@@ -98,7 +98,7 @@ class Lexicon:
                 hits = by_subject[t]
                 s = int((hits / n - rate).argmax())
                 share = hits[s] / n
-                if share >= TERM_SHARE and share >= TERM_GAIN * rate[s] and n * _divergence(share, rate[s]) >= evidence:
+                if share >= TERM_SHARE and share * (1 - rate[s]) >= TERM_GAIN * rate[s] * (1 - share) and n * _divergence(share, rate[s]) >= evidence:
                     first[t] = (s, share)
         in_sentences: Counter = Counter()
         in_docs = Counter()

@@ -56,7 +56,7 @@ RADICALS = str.maketrans(
 UNSTABLE = BLANKS + INVISIBLE + COMPATIBLE + MARKS + OTHER_LETTERS
 #: Quick check, in the syntax that Java and Python share.
 QUICK_CHECK = f"[{UNSTABLE}]"
-_SEGMENT = re.compile(f"[{LATIN}]*[{UNSTABLE}][{LATIN}{UNSTABLE}]*")
+_SEGMENT = re.compile(f"(?:(?<![{LATIN}])[{LATIN}]+)?[{UNSTABLE}][{LATIN}{UNSTABLE}]*")
 _ONLY_BLANK = re.compile(f"[{BLANKS}]+")
 _WORD = re.compile(f"[{LATIN}{OTHER_LETTERS}{MARKS}]+")
 _LEFT, _RIGHT = re.compile(f"({_WORD.pattern[:-1]}{{2,}}) $"), re.compile(f" ({_WORD.pattern[:-1]}{{2,}})")
@@ -134,6 +134,7 @@ def _fix(match: re.Match) -> str:
     if _MARK.search(text):
         left = match.string[match.start() - 1 : match.start()]
         if left and _MARK.match(text[0]):  # the mark joins the character before the segment
+            text = unicodedata.normalize("NFC", text)
             return text if unicodedata.normalize("NFC", left + text[0]) == left + text[0] else "\u0000" + text
     return unicodedata.normalize("NFC", text)
 
