@@ -26,9 +26,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "all_documents").select("row_id", "file_name", "content")
-    lean = repeated_lines.without_repeated_lines(chunks, "row_id", "file_name", "content", "lean")
-    texts = lean.select("row_id", near_duplicates.plain(textform.consistent(F.col("lean"))).alias("t"))
+    texts = near_duplicates.lean_texts(table(spark, sf, "all_documents"), "row_id", "file_name", "content")
     return near_duplicates.group_pairs(near_duplicates.near_duplicates(texts, threshold=0.5))
 
 
