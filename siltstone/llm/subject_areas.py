@@ -74,6 +74,9 @@ class Lexicon:
         self.weights, self.subjects = weights, subjects
         self._find = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_find": None}  # each worker builds its own matcher
+
     @classmethod
     def learn(cls, docs: list[list[str]], labels: np.ndarray) -> Lexicon:
         """docs: the sentences of each document; labels: documents x subjects.
