@@ -1,7 +1,7 @@
 """The registered queries over the test tables, and the SQL that checks them.
 
-Search queries take every row of the query table whose id is divisible by 100,
-against all chunks. All other queries run over their whole tables.
+Search queries take every row of the query tables (evaluation pairs and held-out
+questions) whose id is divisible by 100, against all chunks. All other queries run over their whole tables.
 """
 
 from __future__ import annotations
@@ -38,8 +38,14 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(F.col("row_id").alias("key"), F.col("content").alias("text"), "file_name", "company", "title", "broker", "report_date", "chunk_id", "page_num")
 
 
+#: Added to the ids of questions of held-out items.
+HELD_OUT = 1_000_000_000
+
+
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "testset").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "query")
+    own = table(spark, sf, "testset").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "query")
+    held = table(spark, sf, "heldout_items").filter("item_id % 100 = 0").select((F.col("item_id") + HELD_OUT).alias("query_id"), F.col("question").alias("query"))
+    return own.unionByName(held)
 
 
 def _hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
@@ -55,7 +61,8 @@ _STATS = """
     i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r)
 """
 _HITS = f"""{_DOCS}, {_STATS},
-    q AS (SELECT item_id AS query_id, query FROM testset WHERE item_id % 100 = 0),
+    q AS (SELECT item_id AS query_id, query FROM testset WHERE item_id % 100 = 0
+      UNION ALL SELECT item_id + 1000000000, question FROM heldout_items WHERE item_id % 100 = 0),
     w AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format('query')}) AS term FROM q) GROUP BY ALL),
     p AS (SELECT key, length, term, count(*) AS tf FROM (SELECT key, len(tokens) AS length, unnest(tokens) AS term FROM d) GROUP BY ALL),
     s AS (SELECT query_id, key, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average))), 6) AS score
@@ -203,13 +210,13 @@ def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_HITS}, {_VECTORS},
     e AS (SELECT md5(content) AS m, min(row_id) AS identity FROM all_documents WHERE content IS NOT NULL GROUP BY ALL),
     names AS (SELECT row_id AS key, identity FROM all_documents JOIN e ON md5(content) = m),
-    lists AS (SELECT query_id, identity, min(rank) AS rank, 0.8::DOUBLE AS weight FROM v JOIN names USING (key) WHERE query_id IN (SELECT query_id FROM q) GROUP BY ALL
+    lists AS (SELECT q.query_id, identity, min(rank) AS rank, 0.8::DOUBLE AS weight FROM v JOIN names USING (key) JOIN q ON q.query_id % 1000000000 = v.query_id GROUP BY ALL
       UNION ALL SELECT query_id, identity, min(rank), 0.2::DOUBLE FROM h JOIN names USING (key) GROUP BY ALL),
     fused AS (SELECT query_id, identity AS key, round(sum(weight / (rank + 60)), 6) AS score FROM lists GROUP BY ALL)
     SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM fused QUALIFY rank <= 30""")
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    asked = _asked(spark, sf).join(vectors.withColumnRenamed("key", "query_id"), "query_id", "left")
+    asked = _asked(spark, sf).withColumn("key", F.col("query_id") % HELD_OUT).join(vectors, "key", "left").drop("key")
     return search.search(asked, _chunks(spark, sf), vectors, "hybrid", threshold=None)
 
 
@@ -464,7 +471,7 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.retrieval_metrics(*_judged(spark, sf))
 
 
-@query(f"WITH {_JUDGED} SELECT count(*) AS queries, round(avg(recall), 4) AS avg_recall, round(avg(precision), 4) AS avg_precision, round(avg(noise), 4) AS avg_noise FROM metric")
+@query(f"WITH {_JUDGED} SELECT count(*) AS queries, coalesce(round(avg(recall), 4), 0.0) AS avg_recall, coalesce(round(avg(precision), 4), 0.0) AS avg_precision, coalesce(round(avg(noise), 4), 0.0) AS avg_noise FROM metric")
 def retrieval_metrics_avg(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.averages(evaluation.retrieval_metrics(*_judged(spark, sf)))
 
