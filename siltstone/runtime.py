@@ -31,10 +31,12 @@ def session(app: str = "siltstone", cores: str | int = "*", **conf: str) -> Spar
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a new
-    temporary folder of this machine where that is unset (tests, local runs)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or, in
+    local mode only, a new temporary folder where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
