@@ -2,17 +2,18 @@
 
 Similarity is the Jaccard coefficient of the sets of runs of `SHINGLE` letters
 or digits. Candidates come from a MinHash LSH forest: TREES tries over prefixes
-of the signature, held as sorted keys. A row is compared with its nearest
-neighbours in each sorted trie, that is, first with those that share the
-longest prefix, then with shorter ones, down to the depth at which the target
-recall is reached at the threshold; where a prefix is crowded, only the longer
-ones are left. A sketch of two bits for each hash thins the candidates before
-their texts are compared exactly. Equal texts are folded into one before, and
-groups are the connected components of the verified links.
+of the signature, held as sorted keys. Every two rows that share a prefix of
+the depth at which the target recall is reached at the threshold are compared:
+within a task up to BLOCK rows of a prefix, and beyond that block against block
+in tasks of their own. A sketch of two bits for each hash thins the candidates
+before their texts are compared exactly; its loss is part of the recall. Equal
+texts are folded into one before, and groups are the connected components of
+the verified links.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -28,22 +29,23 @@ from siltstone.runtime import cut, small
 SHINGLE = 5
 #: Hash functions, tries, and hashes that one trie's full key holds.
 HASHES, TREES, DEPTH = 120, 20, 6
-#: Neighbours on one side that a row is compared with in one trie.
-REACH = 48
-#: 64-bit words of a sketch, two bits for each hash.
-WORDS = -(-HASHES // 32)
-#: Share of the threshold that a sketch's estimate must reach.
-SLACK = 0.75
+#: Rows of one prefix that a task compares by itself; longer runs are spread over tasks in blocks of as many.
+BLOCK = 1 << 15
+#: Rows of a run from which on each is compared with all that follow at once.
+LONG = 64
+#: 64-bit words of a sketch: the lower bits of all hashes, then their upper bits.
+WORDS = 2 * -(-HASHES // 64)
+#: Share of the pairs at the threshold that the sketch may lose, and its normal quantile.
+LOSS, QUANTILE = 0.01, 2.33
 _RNG = np.random.RandomState(20240229)
 _MULTIPLY = _RNG.randint(0, 2**31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.randint(0, 2**32, HASHES, dtype=np.int64).astype(np.uint32)
 _PLACES = _RNG.randint(0, 2**63, SHINGLE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_PAIR_BITS = np.uint64(0x5555555555555555)
 
 
 def depth_for(threshold: float, recall: float, trees: int = TREES) -> int:
-    """The longest prefix with which `trees` tries find a pair at the threshold with the target recall."""
-    need = 1.0 - (1.0 - recall) ** (1.0 / trees)
+    """The longest prefix with which `trees` tries and the sketch find a pair at the threshold with the target recall."""
+    need = 1.0 - max(0.0, 1.0 - recall / (1.0 - LOSS)) ** (1.0 / trees)
     return max(1, min(DEPTH, int(math.log(need) / math.log(threshold))))
 
 
@@ -84,53 +86,144 @@ def _entries(depth: int):
                 continue
             sigs = np.stack([signature(shingle_hashes(t)) for t in batch["t"]])
             mixed = _mix(sigs.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            two = np.stack([mixed & np.uint64(1), (mixed >> np.uint64(1)) & np.uint64(1)], axis=2).reshape(len(sigs), -1).astype(np.uint8)
-            sketch = np.packbits(np.pad(two, ((0, 0), (0, WORDS * 64 - two.shape[1]))), axis=1).view(np.int64)
+            bits = np.stack([mixed & np.uint64(1), (mixed >> np.uint64(1)) & np.uint64(1)], axis=1).astype(np.uint8)
+            sketch = np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, WORDS * 32 - HASHES))), axis=2).reshape(len(sigs), -1).view(np.int64)
             by_tree = mixed.reshape(len(sigs), TREES, DEPTH)
             top = np.broadcast_to(tree, (len(sigs), TREES)).copy()
             for i in range(depth):
                 top = _mix(top * np.uint64(0x9E3779B97F4A7C15) + by_tree[:, :, i])
-            rest = np.zeros_like(top)
-            for i in range(depth, DEPTH):
-                rest = (rest << np.uint64(64 // DEPTH)) | (by_tree[:, :, i] & np.uint64((1 << 64 // DEPTH) - 1))
-            out = {"top": top.ravel().view(np.int64), "rest": rest.ravel().view(np.int64), "rep": np.repeat(batch["rep"].to_numpy(), TREES)}
+            out = {"top": top.ravel().view(np.int64), "rep": np.repeat(batch["rep"].to_numpy(), TREES)}
             yield pd.DataFrame(out | {f"s{i}": np.repeat(sketch[:, i], TREES) for i in range(WORDS)})
 
     return run
 
 
-def _neighbours(threshold: float):
-    """Pairs of near rows in a run of entries that is sorted by top, rest, rep."""
-    least = (1.0 + 3.0 * SLACK * threshold) / 4.0 * HASHES
-
-    def pairs(top: np.ndarray, rep: np.ndarray, sketch: np.ndarray, fresh: int) -> Iterator[pd.DataFrame]:
-        for step in range(1, min(REACH, len(top) - 1) + 1):
-            start = max(0, fresh - step)  # pairs that end in the new rows
-            a, b = slice(start, len(top) - step), slice(start + step, len(top))
-            same = top[a] == top[b]
-            if not same.any():
-                break
-            unlike = np.zeros(len(same), np.uint8)
-            for words in sketch:
-                apart = words[a] ^ words[b]
-                unlike += np.bitwise_count((apart | (apart >> np.uint64(1))) & _PAIR_BITS)
-            i = start + np.flatnonzero(same & (unlike <= HASHES - least))
-            if len(i):
-                x, y = rep[i], rep[i + step]
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+def most_unlike(threshold: float) -> int:
+    """Hashes whose bits may differ between two sketches; at the threshold all but LOSS of the pairs stay within."""
+    equal = (1.0 + 3.0 * threshold) / 4.0
+    return HASHES - math.floor(HASHES * equal - QUANTILE * math.sqrt(HASHES * equal * (1.0 - equal)))
+
+
+def _unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For sketches with one row for each word: the number of hashes whose bits differ."""
+    half = WORDS // 2
+    out = np.bitwise_count((x[0] ^ y[0]) | (x[half] ^ y[half]))
+    for i in range(1, half):
+        out += np.bitwise_count((x[i] ^ y[i]) | (x[half + i] ^ y[half + i]))
+    return out
+
+
+def _frames(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rows: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Pairs of row numbers as frames (a, b) with a < b of about `rows` rows."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for pair in itertools.chain(pairs, [None]):
+        if pair is not None:
+            held.append(pair)
+            n += len(pair[0])
+        if held and (pair is None or n >= rows):
+            x, y = (np.concatenate(side) for side in zip(*held, strict=True))
+            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            held, n = [], 0
+
+
+def _each_with(rep: np.ndarray, sketch: np.ndarray, others: np.ndarray, theirs: np.ndarray, most: int, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Alike rows of two blocks, each with each; `within` one block, each with those that follow."""
+    for i in range(len(rep)):
+        start = i + 1 if within else 0
+        at = start + np.flatnonzero(_unlike(sketch[:, i : i + 1], theirs[:, start:]) <= most)
+        if len(at):
+            yield np.full(len(at), rep[i]), others[at]
+
+
+def _within_runs(top: np.ndarray, rep: np.ndarray, sketch: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Alike rows of equal top, in whole runs."""
+    starts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1])))
+    sizes = np.diff(np.append(starts, len(top)))
+    for start, size in zip(starts[sizes > LONG], sizes[sizes > LONG], strict=True):
+        part = slice(start, start + size)
+        yield from _each_with(rep[part], sketch[:, part], rep[part], sketch[:, part], most, True)
+    # Rows after each one in its run; in the short runs all rows take one step at a time.
+    after = np.repeat(starts + sizes, sizes) - 1 - np.arange(len(top))
+    i = np.flatnonzero((after > 0) & (np.repeat(sizes, sizes) <= LONG))
+    for step in range(1, LONG):
+        i = i[after[i] >= step]
+        if not len(i):
+            break
+        near = i[_unlike(sketch[:, i], sketch[:, i + step]) <= most]
+        if len(near):
+            yield rep[near], rep[near + step]
+
+
+_SKETCH = [f"s{i}" for i in range(WORDS)]
+
+
+def _arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return batch["rep"].to_numpy(), np.stack([batch[c].to_numpy().view(np.uint64) for c in _SKETCH])
+
+
+def _alike(threshold: float, block: int):
+    """From entries sorted by top: alike rows (a, b) of one top; a run of over `block` entries comes out as it is (a = rep), in numbered blocks."""
+    most = most_unlike(threshold)
+
+    def hot(top: int, rep: np.ndarray, sketch: np.ndarray, number: int) -> pd.DataFrame:
+        return pd.DataFrame({"a": rep, "top": top, "block": number} | dict(zip(_SKETCH, sketch.view(np.int64), strict=True)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[np.ndarray, ...] | None = None
-        for batch in batches:
-            if batch.empty:
+        columns = ["a", "b", "top", "block", *_SKETCH]
+        full = lambda frame: frame.reindex(columns=columns).astype("Int64")
+        top, rep, sketch = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((WORDS, 0), np.uint64)
+        number = 0  # blocks of the first run in hand that have gone out
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if batch.empty:
+                    continue
+                new_rep, new_sketch = _arrays(batch)
+                top, rep, sketch = np.concatenate((top, batch["top"].to_numpy())), np.concatenate((rep, new_rep)), np.concatenate((sketch, new_sketch), axis=1)
+            if not len(top):
                 continue
-            now = (batch["top"].to_numpy(), batch["rep"].to_numpy(), *(batch[f"s{i}"].to_numpy().view(np.uint64) for i in range(WORDS)))
-            fresh = 0
-            if held is not None:
-                fresh = len(held[0])
-                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            yield from pairs(now[0], now[1], now[2:], fresh)
-            held = tuple(x[-REACH:] for x in now)
+            # The last run may go on in the next batch.
+            last = len(top) if batch is None else int(np.searchsorted(top, top[-1]))
+            if number and last:
+                end = int(np.searchsorted(top, top[0], "right"))
+                yield full(hot(top[0], rep[:end], sketch[:, :end], number))
+                top, rep, sketch, last, number = top[end:], rep[end:], sketch[:, end:], last - end, 0
+            if last:
+                for frame in _frames(_within_runs(top[:last], rep[:last], sketch[:, :last], most)):
+                    yield full(frame)
+                top, rep, sketch = top[last:], rep[last:], sketch[:, last:]
+            while len(top) > block:
+                yield full(hot(top[0], rep[:block], sketch[:, :block], number))
+                top, rep, sketch, number = top[block:], rep[block:], sketch[:, block:], number + 1
+
+    return run
+
+
+def _crossed(threshold: float):
+    """Alike rows (a, b) of two blocks x and y of a top, or of one block, from rows sorted by top, x, y."""
+    most = most_unlike(threshold)
+
+    def pairs(parts: list[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cell = pd.concat(parts)
+        first = cell["block"] == cell["x"]
+        if cell["x"].iloc[0] == cell["y"].iloc[0]:
+            rep, sketch = _arrays(cell)
+            yield from _each_with(rep, sketch, rep, sketch, most, True)
+        else:
+            yield from _each_with(*_arrays(cell[first]), *_arrays(cell[~first]), most, False)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for batch in batches:
+            for key, part in batch.groupby(["top", "x", "y"], sort=False):
+                if key != last and held:
+                    yield from _frames(pairs(held))
+                    held = []
+                held.append(part)
+                last = key
+        if held:
+            yield from _frames(pairs(held))
 
     return run
 
@@ -153,19 +246,27 @@ def _verify(threshold: float):
     return run
 
 
-def similar_pairs(texts: DataFrame, threshold: float = 0.8, recall: float = 0.9) -> DataFrame:
+def similar_pairs(texts: DataFrame, threshold: float = 0.8, recall: float = 0.9, block: int = BLOCK) -> DataFrame:
     """(a, b) with a < b: the pairs of different texts with a Jaccard coefficient of at least `threshold`.
 
     texts: (rep bigint, t string) with distinct t, best a table that can be read
     twice. A text without a whole shingle has no partner. Pairs above the
-    threshold are found with at least the probability `recall` by the tries
-    (more for closer pairs), apart from prefixes with over REACH rows.
+    threshold are found with at least the probability `recall` (more for closer
+    pairs), however many rows share a prefix; work grows with the square of
+    their number, in tasks of at most `block` rows against as many.
     """
     texts = texts.filter(F.length("t") >= SHINGLE).select("rep", "t")
-    entries = texts.mapInPandas(_entries(depth_for(threshold, recall)), "top bigint, rest bigint, rep bigint, " + ", ".join(f"s{i} bigint" for i in range(WORDS)))
-    # Ranges of the whole key: a crowded prefix spreads over as many tasks as it needs.
-    ordered = entries.repartitionByRange("top", "rest", "rep").sortWithinPartitions("top", "rest", "rep")
-    found = cut(ordered.mapInPandas(_neighbours(threshold), "a bigint, b bigint").distinct(), "candidates")
+    sketch = ", ".join(f"{c} bigint" for c in _SKETCH)
+    entries = texts.mapInPandas(_entries(depth_for(threshold, recall)), f"top bigint, rep bigint, {sketch}")
+    # By top alone, so that no two rows of one prefix are in different tasks unless block stands against block.
+    ordered = entries.repartition("top").sortWithinPartitions("top")
+    raw = cut(ordered.mapInPandas(_alike(threshold, block), f"a bigint, b bigint, top bigint, block bigint, {sketch}"), "alike")
+    hot = raw.filter("b is null").drop("b").withColumnRenamed("a", "rep")
+    counts = hot.groupBy("top").agg(F.max("block").alias("most"))
+    cells = hot.join(counts, "top").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "most")))
+    cells = cells.select("top", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", *_SKETCH)
+    crossed = cells.repartition("top", "x", "y").sortWithinPartitions("top", "x", "y").mapInPandas(_crossed(threshold), "a bigint, b bigint")
+    found = cut(raw.filter("b is not null").select("a", "b").union(crossed).distinct(), "candidates")
     ids = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct()
     near = texts.join(small(ids, 2 * found.count(), 16), "rep", "left_semi")
     left, right = near.select(F.col("rep").alias("a"), F.col("t").alias("ta")), near.select(F.col("rep").alias("b"), F.col("t").alias("tb"))

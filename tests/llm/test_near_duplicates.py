@@ -1,9 +1,10 @@
 import itertools
+import math
 import random
 
 import numpy as np
 
-from siltstone.llm.near_duplicates import SHINGLE, components, depth_for, group_pairs, near_duplicates, shingle_hashes, signature, similar_pairs
+from siltstone.llm.near_duplicates import HASHES, SHINGLE, components, depth_for, group_pairs, most_unlike, near_duplicates, shingle_hashes, signature, similar_pairs
 
 
 def grams(t):
@@ -55,6 +56,48 @@ def test_pairs_against_brute_force(spark):
         assert got <= true and len(got) >= 0.9 * len(true) and true
 
 
+def crowd(n=400, seed=5):
+    """Texts of shared boilerplate (unrelated ones at about 0.39), every second with a partner at about 0.55."""
+    r = random.Random(seed)
+    letters = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    shared, out = letters(170), []
+    for _ in range(n):
+        own = letters(130)
+        out += [shared + own, shared + own[:44] + letters(86)]
+    return out
+
+
+def true_pairs(data, threshold):
+    sets = [grams(t) for t in data]
+    return {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (n := len(sets[i] & sets[j])) >= threshold * (len(sets[i]) + len(sets[j]) - n)}
+
+
+def test_crowded_prefixes(spark):
+    data = crowd()
+    df = spark.createDataFrame(list(enumerate(data)), "rep bigint, t string")
+    true = true_pairs(data, 0.5)
+    assert len(true) >= 400
+    got = {tuple(x) for x in similar_pairs(df, 0.5).collect()}
+    assert got <= true and len(got) >= 0.9 * len(true)
+    # Runs of over 40 rows go block against block, with the same result.
+    assert {tuple(x) for x in similar_pairs(df, 0.5, block=40).collect()} == got
+
+
+def test_links_of_a_large_group(spark):
+    r = random.Random(7)
+    base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    data = [base[: 100 + i % 100] + f"{i:05d}" + base[100 + i % 100 :] for i in range(400)]
+    got = near_duplicates(spark.createDataFrame(list(enumerate(data)), "row_id bigint, t string"), 0.8).select("group_id", "links").distinct().collect()
+    assert [tuple(x) for x in got] == [(0, 399)]
+
+
+def test_sketch_counts_in_the_recall():
+    for t in (0.3, 0.5, 0.8):
+        equal = (1 + 3 * t) / 4
+        kept = sum(math.comb(HASHES, k) * equal ** (HASHES - k) * (1 - equal) ** k for k in range(most_unlike(t) + 1))
+        assert kept * (1 - (1 - t ** depth_for(t, 0.9)) ** 20) >= 0.9
+
+
 def test_groups_and_edges(spark):
     data = texts()
     rows = list(enumerate(data)) + [(900, None), (901, ""), (902, "abc"), (903, "abc"), (904, "abcd")] + [(1000 + i, "同一段文字完全相同的内容" * 3) for i in range(50)]
