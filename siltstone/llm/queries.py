@@ -25,6 +25,10 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return scanned_pages.page_defects(table(spark, sf, "text_blocks"))
 
 
+def p3_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return scanned_pages.paragraphs(table(spark, sf, "text_blocks"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     texts = near_duplicates.lean_texts(table(spark, sf, "all_documents"), "row_id", "file_name", "content")
     return near_duplicates.group_pairs(near_duplicates.near_duplicates(texts, threshold=0.5))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,

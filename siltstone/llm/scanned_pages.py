@@ -28,6 +28,8 @@ PAGE_HEIGHT = 840.0
 MARGIN = 0.07
 #: Pages of a document on which a running head returns at least.
 HEAD_PAGES = 3
+#: Confidence of recognition from which a word is kept though it looks like a far more frequent one.
+SURE = 0.99
 
 # Groups of characters that recognition takes for one another.
 ALIKE_GROUPS = (
@@ -96,11 +98,13 @@ def _centres(t: str) -> Iterator[tuple[str, str, str]]:
     """(left, centre, right) for centres that may be misread, digits as one class."""
     t = "^" + _DIGIT.sub("#", t) + "$"
     for i in range(1, len(t) - 1):
-        c = t[i]
-        if c == "#" or _HAN.match(c):
-            yield t[i - 1], c, t[i + 1]
-        elif _LETTER.match(c) and not _LETTER.match(t[i - 1]) and not _LETTER.match(t[i + 1]):
-            yield t[i - 1], c, t[i + 1]
+        yield from _centres_at(t, i)
+
+
+def _centres_at(t: str, i: int) -> Iterator[tuple[str, str, str]]:
+    c = t[i]
+    if c == "#" or _HAN.match(c) or _LETTER.match(c) and not _LETTER.match(t[i - 1]) and not _LETTER.match(t[i + 1]):
+        yield t[i - 1], c, t[i + 1]
 
 
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,6 +215,14 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["block", "kind", "k", "v"])
 
 
+def corrections(blocks: DataFrame, stats: DataFrame) -> DataFrame:
+    """(block, kind, k, v, y): what stands wrongly in a block, a character v in context k (t) or a word k (w), and y that belongs there."""
+    parts = blocks.select("block", "text").mapInPandas(_parts, "block bigint, kind string, k string, v string")
+    bad = misread_contexts(stats).select(F.lit("t").alias("kind"), "k", "v", "y")
+    bad = cut(bad.unionByName(misread_words(stats).select(F.lit("w").alias("kind"), F.col("w").alias("k"), F.lit("").alias("v"), F.col("v").alias("y"))), "corrections")
+    return parts.join(bad, ["kind", "k", "v"]).select("block", "kind", "k", "v", "y").distinct()
+
+
 def misread(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     """(block): blocks with at least one character read as another."""
     parts = blocks.select("block", "text").mapInPandas(_parts, "block bigint, kind string, k string, v string")
@@ -368,8 +380,8 @@ def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["block", "l", "r", "sign"])
 
 
-def split_words(pages: DataFrame, stats: DataFrame) -> DataFrame:
-    """(block): blocks in which a hyphen-like sign cuts a word at a line's or the block's end.
+def cut_words(pages: DataFrame, stats: DataFrame) -> DataFrame:
+    """(block, l, r): the pieces, in lower case, of words that a hyphen-like sign cuts at a line's or the block's end.
 
     The pieces are one word if the table has it whole, and a compound if the
     table writes it with the hyphen more often. Where it has neither, they are a
@@ -391,7 +403,12 @@ def split_words(pages: DataFrame, stats: DataFrame) -> DataFrame:
     both_words = (F.col("n_left") >= 2) & (F.col("n_right") >= 2)
     unseen = F.when(F.col("sign") == "\u00ad", ~both_words).otherwise(F.col("nl") == 0)
     whole = F.when(F.col("nc") > F.col("n_joined"), False).when(F.col("n_joined") > 0, True).otherwise(unseen)
-    return told.filter(F.when(F.col("r") == "", open_end).otherwise(whole)).select("block").distinct()
+    return told.filter(F.when(F.col("r") == "", open_end).otherwise(whole)).select("block", "l", "r").distinct()
+
+
+def split_words(pages: DataFrame, stats: DataFrame) -> DataFrame:
+    """(block): blocks in which a word is cut."""
+    return cut_words(pages, stats).select("block").distinct()
 
 
 def page_defects(df: DataFrame, key: str = "block_id", height: float = PAGE_HEIGHT) -> DataFrame:
@@ -414,3 +431,99 @@ def page_defects(df: DataFrame, key: str = "block_id", height: float = PAGE_HEIG
     for x in found[1:]:
         out = out.unionByName(x)
     return out.select(F.col("block").alias("block_id"), "defect")
+
+
+# --- paragraphs ------------------------------------------------------------------------
+
+
+def corrected(text: str, fixes: dict[tuple[str, str, str], str], sure: bool = False) -> str:
+    """text in one line with its misread characters, words and figures put right; `sure` text keeps words that are only rare."""
+    one = flat(text)
+    chars = list(one)
+    for i, (a, c, b) in _places_of_centres(one):
+        y = fixes.get(("t", a + b, c))
+        if y is not None:
+            chars[i] = c.translate(_AS_DIGIT) if y == "#" else y
+    one = "".join(chars)
+    if not sure:
+        one = _WORD.sub(lambda m: fixes.get(("w", m.group(), ""), m.group()), one)
+    kept = [m.span() for x in (_NOT_FIGURE, _ADDRESS) for m in x.finditer(one)]
+    return _FIGURE.sub(lambda m: m.group() if any(a < m.end() and m.start() < b for a, b in kept) else m.group().translate(_AS_DIGIT), one)
+
+
+def _places_of_centres(one: str) -> Iterator[tuple[int, tuple[str, str, str]]]:
+    t = "^" + _DIGIT.sub("#", one) + "$"
+    for i in range(1, len(t) - 1):
+        for found in _centres_at(t, i):
+            yield i - 1, found
+
+
+def joined_lines(text: str, words: set[tuple[str, str]]) -> str:
+    """text without the signs that cut one of `words` at the end of a line."""
+
+    def join(m: re.Match) -> str:
+        left, right = re.search("[A-Za-zÀ-ɏ]+$", canonical(m.group(1))), _FIRST.match(canonical(text[m.end() :]))
+        return m.group(1) if left and right and (left.group().lower(), right.group(1).lower()) in words else m.group()
+
+    return _CUT.sub(join, text)
+
+
+def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for page in _pages(batches):
+        out: list[str] = []
+        open_text = False
+        pending: set[tuple[str, str]] = set()
+        for block in page:
+            if block["state"] in ("head", "number"):
+                continue
+            words = {tuple(x) for x in block["words"]} if block["words"] is not None else set()
+            fixes = {(x[0], x[1], x[2]): x[3] for x in block["fixes"]} if block["fixes"] is not None else {}
+            sure = block["confidence"] is not None and block["confidence"] >= SURE
+            text = corrected(joined_lines(block["text"], words), fixes, sure).strip()
+            if block["taken"] and text.lower().startswith(block["taken"]):
+                text = text[len(block["taken"]) :].lstrip()
+            if block["state"] == "cell":
+                if text:
+                    out.append(text)
+                open_text = False
+                continue
+            if block["state"] == "body" and open_text and text:
+                last = re.search(rf"([A-Za-zÀ-ɏ]+)[{_SIGNS}]$", out[-1])
+                right = _FIRST.match(text)
+                if last and right and (last.group(1).lower(), right.group(1).lower()) in pending:
+                    out[-1] = out[-1][:-1] + text
+                else:
+                    out[-1] += (" " if out[-1][-1] < "ɐ" and text[0] < "ɐ" else "") + text
+            elif text:
+                out.append(text)
+                open_text = True
+            # A word whose rest stands on the next page is completed here and taken from there.
+            if block["over"] and (m := re.search(rf"[{_SIGNS}]$", out[-1] if out else "")):
+                out[-1] = out[-1][: m.start()] + block["over"]
+            pending = words
+        yield pd.DataFrame({"doc_id": page[0]["doc"], "page": page[0]["page"], "paragraph": range(1, len(out) + 1), "text": out})
+
+
+def paragraphs(df: DataFrame, key: str = "block_id", height: float = PAGE_HEIGHT) -> DataFrame:
+    """(doc_id, page, paragraph, text): the readable text of each page, paragraphs counted from 1.
+
+    Heads and page numbers are left out, cut words joined, also over a page's
+    end, and misread characters put right; table cells stand by themselves. A
+    confidence of SURE or more keeps words that are merely rare.
+    """
+    rows = _layout_rows(df, key, height)
+    stats = cut(statistics(rows), "statistics")
+    pages = cut(labelled(rows, running_heads(rows)), "pages")
+    words = cut(cut_words(pages, stats), "words")
+    by_block = words.groupBy("block").agg(F.collect_list(F.array("l", "r")).alias("words"))
+    fixes = corrections(rows, stats).groupBy("block").agg(F.collect_list(F.array("kind", "k", "v", "y")).alias("fixes"))
+    ends = pages.filter("state in ('break', 'body') and next is null").join(words.filter("r <> ''"), "block")
+    ends = ends.filter(F.col("text").rlike(f"[{_SIGNS}]\\s*$") & F.lower(F.regexp_extract("text", f"([A-Za-zÀ-ɏ]+)[{_SIGNS}]\\s*$", 1)).eqNullSafe(F.col("l")))
+    leads = pages.filter("leads").select("doc", (F.col("page") - 1).alias("page"), F.col("block").alias("lead"), F.lower(F.regexp_extract("text", "^\\s*([A-Za-zÀ-ɏ]+)", 1)).alias("r"))
+    over = cut(ends.join(leads, ["doc", "page", "r"]).groupBy("block").agg(F.min("lead").alias("lead"), F.min("r").alias("over")), "over")
+    taken = over.groupBy(F.col("lead").alias("block")).agg(F.min("over").alias("taken"))
+    full = pages.select("block", "doc", "page", "state", "text", "y0").join(rows.select("block", "x0", "confidence"), "block")
+    for extra in (by_block, fixes, over.select("block", "over"), taken):
+        full = full.join(extra, "block", "left")
+    ordered = full.repartition("doc", "page").sortWithinPartitions("doc", "page", "y0", "x0", "block")
+    return ordered.mapInPandas(_assemble, "doc_id string, page int, paragraph int, text string")

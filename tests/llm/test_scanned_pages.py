@@ -1,6 +1,6 @@
 import pytest
 
-from siltstone.llm.scanned_pages import counts_page, flat, has_misread_figure, label, page_defects, skeleton
+from siltstone.llm.scanned_pages import counts_page, flat, has_misread_figure, label, page_defects, paragraphs, skeleton
 
 SCHEMA = "block_id bigint, doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string, block_type string, confidence double, source string, state string"
 
@@ -61,3 +61,17 @@ def test_states_follow_sentences():
     base = {"x0": 56, "x1": 536, "type": "text", "margin": False, "returns": False, "count": False}
     got = label([base | {"text": "第一句没有完"}, base | {"text": "接着说完了。"}, base | {"text": "新的一段"}])
     assert got[1] == "body" and got[2] == "break"
+
+
+def test_paragraphs(spark):
+    rows = [r for r in pages() if r[2] != 3 or r[4] in (20.0, 810.0)]
+    rows += [block(91, 3, 70.0, "The com-\npany made prof-"), block(92, 3, 90.0, "it of 1O5 and reve-"), block(93, 4, 60.0, "nue rose. All well.")]
+    rows += [block(200 + i, 1 + i // 20, 70.0 + i % 20 * 12, f"{n}的营业收入同比增长，净额较上年提升。", doc=f"e{i % 3}") for i, n in enumerate("甲乙丙丁戊己庚辛壬癸" * 6)]
+    rows += [block(900, 9, 500.0, "甲的菅业收入同比憎长，净额较上年提升。", doc="e0")]
+    got = {}
+    for d, p, n, t in sorted(map(tuple, paragraphs(spark.createDataFrame(rows, SCHEMA)).collect())):
+        got.setdefault((d, p), []).append(t)
+    assert got["d", 3] == ["The company made profit of 105 and revenue"]
+    assert got["d", 4][0].startswith("rose. All well.")
+    assert got["e0", 9] == ["甲的营业收入同比增长，净额较上年提升。"]
+    assert not any("深度研究" in t or "/ 5" in t for ts in got.values() for t in ts)
