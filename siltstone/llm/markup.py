@@ -26,8 +26,11 @@ from pyspark.sql import types as T
 from siltstone.llm.textform import canonical
 
 LANGUAGES = ("html", "markdown", "wiki", "latex")
-#: A text without a match has no place to look at; Java and Python share the syntax.
-ANY_SIGN = r"[<&\[{'=|`#*>$\\~]|(?m:^[ \t]*(?:[-+]|\d{1,2}[.)])[ \t])"
+# Blanks, and characters that `canonical` drops.
+_GAP = r"[\s ­͏؜ᅟ-ᅠ ឴-឵᠋-᠏ -‏ -  -⁯　ㅤ︀-️﻿ﾠ]"
+#: A text without a match has no place to look at; Java and Python share the syntax. Takes in all that _LEX can match, and the
+#: full-width twins that `canonical` turns into such signs.
+ANY_SIGN = rf"[<&\[{{'=|`#*>$\\~!_＜＆［｛＇＝｜｀＃＊＞＄＼～＿]|[-－]{_GAP}*[-－]|(?m:^{_GAP}*(?:[-+－＋]|\S{{1,4}}[.)．]){_GAP})"
 
 # HTML elements.
 ELEMENTS = set(
@@ -342,5 +345,5 @@ def markup_languages(df: DataFrame, key: str, text: str) -> DataFrame:
     Null, blank and empty texts have none; repeated rows are told apart by key
     only; an empty table gives an empty result; other columns are ignored.
     """
-    rows = df.select(df[key].alias("row_id"), df[text].alias("_text")).filter(F.col("_text").rlike(ANY_SIGN) | F.col("_text").rlike("[＜＆［｛｜＃＄＼]"))
+    rows = df.select(df[key].alias("row_id"), df[text].alias("_text")).filter(F.col("_text").rlike(ANY_SIGN))
     return rows.select("row_id", F.explode(_languages("_text")).alias("markup"))

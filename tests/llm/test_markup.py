@@ -2,8 +2,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from siltstone.llm.markup import MATE, TIE, Place, clean, languages, markup_languages, minimum_cut, places
+from siltstone.llm.markup import MATE, TIE, Place, clean, languages, markup_languages, minimum_cut, places, without_markup
+from siltstone.llm.textform import canonical
 
 
 @pytest.mark.parametrize(
@@ -68,3 +70,12 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "id bigint, body string, markup string")
     assert {tuple(r) for r in markup_languages(df, "id", "body").collect()} == {(1, "html"), (5, "html"), (6, "html")}
     assert markup_languages(df.limit(0), "id", "body").count() == 0
+
+
+def test_prefilter_takes_in_every_construct(spark):
+    rows = ["a\n---\nb __bold__ c", "one __two__ three\n\n___\n", "＝＝Title＝＝", "＊＊bold＊＊ and ＊＊more＊＊", "－ one\n－ two\n－ three", "\u3000- one\n\u3000- two\n\u3000- three", "plain words"]
+    found = {i for i, t in enumerate(rows) if languages(canonical(t))}
+    got = markup_languages(spark.createDataFrame(list(enumerate(rows)), "id bigint, t string"), "id", "t")
+    assert {r["row_id"] for r in got.collect()} == found and {1, 2, 3, 4} <= found
+    texts = spark.createDataFrame([(t,) for t in rows], "t string").select("t", without_markup(F.col("t")).alias("c")).collect()
+    assert all(r["c"] == clean(r["t"]) for r in texts if r["t"] != "plain words")
