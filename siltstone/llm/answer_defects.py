@@ -163,7 +163,7 @@ def is_empty(text: str | None) -> bool:
 def is_copy(answer: str, query: str) -> bool:
     """Nothing of the answer but the query, apart from a few letters; the answer adds no figure."""
     a, q = letters(answer), letters(query)
-    if len(q) < 4 or len(a) < 0.6 * len(q) or len(a) > 12 * len(q) + 40:
+    if len(q) < 4 or len(a) < 0.6 * len(q):
         return False
     rest, at = [], 0
     for start, end in sorted(tiled(a, q)):
@@ -174,9 +174,13 @@ def is_copy(answer: str, query: str) -> bool:
     return not any(c.isdigit() for c in left) and len(left) <= (0.3 if whole else 0.12) * len(a)
 
 
+_SENTENCE = re.compile(r"(?<=[。！？!?\n])|(?<=\.)\s+")
+
+
 def is_refusal(answer: str) -> bool:
-    head = answer.strip()[:400]
-    return bool(REFUSAL_ZH.search(head) or REFUSAL_EN.search(head))
+    # The whole text as well: a refusal may run over a mark that looks like a sentence end.
+    pieces = [answer.strip(), *(x.strip() for x in _SENTENCE.split(answer))]
+    return any(REFUSAL_ZH.search(x) or REFUSAL_EN.search(x) for x in pieces)
 
 
 _CLOSE = dict(zip("([{（【《〈「『“‘«", ")]}）】》〉」』”’»", strict=True))

@@ -1,6 +1,6 @@
 import pytest
 
-from siltstone.llm.answer_defects import answer_defects, is_copy, language, left_open, row_defect, tiled
+from siltstone.llm.answer_defects import answer_defects, is_copy, is_refusal, language, left_open, row_defect, tiled
 
 Q = "岑岳集团2020年营业收入是多少？"
 
@@ -43,3 +43,10 @@ def test_table(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "id bigint, q string, a string, defect string")
     assert {tuple(r) for r in answer_defects(df, "id", "q", "a").collect()} == {(100, "truncated"), (102, "empty"), (104, "empty")}
     assert answer_defects(df.limit(0), "id", "q", "a").count() == 0
+
+
+def test_long_answers():
+    long = "Revenue rose in the second quarter as demand recovered. " * 12
+    assert is_refusal(long + "Sorry, that is all there is.") and not is_refusal(long)
+    q = "what was the revenue of the company"
+    assert is_copy(" ".join([q] * 30), q) and not is_copy(long, q)
