@@ -83,6 +83,22 @@ def test_crowded_prefixes(spark):
     assert {tuple(x) for x in similar_pairs(df, 0.5, block=40).collect()} == got
 
 
+def test_tasks_do_not_matter(spark):
+    data = crowd(60)
+    df = spark.createDataFrame(list(enumerate(data)), "rep bigint, t string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = []
+        for n in (1, 12):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({tuple(x) for x in similar_pairs(df, 0.5).collect()})
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got[0] == got[1] and got[0]
+
+
 def test_links_of_a_large_group(spark):
     r = random.Random(7)
     base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
