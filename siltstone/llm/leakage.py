@@ -2,17 +2,29 @@
 
 Each task indexes its documents shard by shard with an FM-index: the suffix
 array by prefix doubling, the Burrows-Wheeler transform in a wavelet matrix,
-and sampled suffix positions. Windows of every passage are counted by backward
-search, all at once. The rarest windows are located; the frequent ones may be
-left, since together they cover too little of the passage to make a case. The
-documents so found are then compared letter by letter with the passage, and the
-runs of both are merged into spans for removal.
-
-No shuffle: the corpus is read once, where it lies.
+and sampled suffix positions. Every seed of every passage, at every place, is
+counted by backward search, all at once. The rarer seeds are located; the most
+frequent may be left, since together they cover too little of the passage to
+make a case. The documents so found are then compared letter by letter with the
+passage, and the runs of both are merged into spans for removal.
+
+The search loses no case that the comparison accepts. A run consists of seeds,
+and at most CHANGED of its letters lie between them; where runs overlap, no
+letter need be counted for more than two of them. So a document that shares
+`share` of a passage has seeds on at least (1 - 2 * CHANGED) * share of its
+letters. The seeds left out cover at most LEFT_OUT of that, and a document is
+compared as soon as located seeds cover the rest.
+
+No shuffle: the corpus is read once, where it lies. More than BLOCK items are
+searched block by block in an index that is built once and kept in the shared
+folder.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.textform import canonical
+from siltstone.runtime import cut
 
 #: Letters of an index shard: bounds the memory of a task, whatever the partition.
 SHARD = 3_000_000
 #: Rows between sampled suffix positions.
-SAMPLE = 16
-#: Items whose windows are searched at once; more are taken in blocks.
-BLOCK = 5_000
-#: By language: least run, length of a search window and its stride, length of a comparing seed.
-RULES = {"zh": (20, 12, 2, 6), "en": (50, 30, 4, 12)}
-#: Share of a passage that the windows left out may cover.
-LEFT_OUT = 0.35
-#: Share of a passage that located windows must cover before the texts are compared.
-LEAST_HIT = 0.08
+SAMPLE = 8
+#: Items whose seeds are searched at once; more are taken in blocks.
+BLOCK = 2_000
+#: By language: least run, and length of a seed.
+RULES = {"zh": (20, 6), "en": (50, 12)}
 #: Letters of a gap between two seeds of one run, and the share of a run that may differ.
 GAP, CHANGED = 12, 0.12
+#: Part of the letters that a case must show which the seeds left out may cover.
+LEFT_OUT = 0.8
+#: Occurrences located at once.
+LOCATED = 1_000_000
 
 
 class FMIndex:
@@ -55,8 +68,10 @@ class FMIndex:
             symbols = np.concatenate((symbols[~bits], symbols[bits]))
         marked = order % SAMPLE == 0
         self.mark_words, self.mark_before = _packed(marked)
-        self.samples = order[marked]
+        self.samples = order[marked].astype(np.int32)
         self.base = self._down(np.arange(sigma), np.zeros(sigma, np.int64))
+        # The step from each row to that of the letter before, for all rows in one pass through the matrix.
+        self.back = (self.first[self.bwt] + self.rank(self.bwt, np.arange(self.n))).astype(np.int32)
 
     def _add(self, bits: np.ndarray) -> None:
         words, before = _packed(bits)
@@ -75,13 +90,15 @@ class FMIndex:
         """How often each symbol stands in the first i symbols of the transform."""
         return self._down(symbol, i) - self.base[symbol]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last-plus-one rows for each pattern (one per line), by backward search; negative symbols match nothing."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        live = np.flatnonzero((patterns >= 0).all(axis=1))
-        high[(patterns < 0).any(axis=1)] = 0
-        for column in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[live, column]
+    def search(self, text: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last-plus-one rows for each pattern text[start : start + size], by backward search; negative symbols match nothing."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        live = np.arange(len(starts))
+        for column in range(size - 1, -1, -1):
+            c = text[starts[live] + column]
+            if (c < 0).any():
+                high[live[c < 0]] = low[live[c < 0]]
+                live, c = live[c >= 0], c[c >= 0]
             both = self.rank(np.concatenate((c, c)), np.concatenate((low[live], high[live])))
             low[live], high[live] = self.first[c] + both[: len(c)], self.first[c] + both[len(c) :]
             live = live[low[live] < high[live]]
@@ -91,13 +108,9 @@ class FMIndex:
         """Text positions of rows, by steps back to the next sampled one."""
         at, steps, row, todo = np.zeros(len(rows), np.int64), 0, rows.copy(), np.arange(len(rows))
         while len(todo):
-            r = row[todo]
-            hit = (self.mark_words[r >> 6] >> (r & 63).astype(np.uint64)) & np.uint64(1) == 1
-            done = todo[hit]
-            at[done] = self.samples[_rank(self.mark_words, self.mark_before, row[done])] + steps
-            todo = todo[~hit]
-            c = self.bwt[row[todo]]
-            row[todo] = self.first[c] + self.rank(c, row[todo])
+            hit = (self.mark_words[row >> 6] >> (row & 63).astype(np.uint64)) & np.uint64(1) == 1
+            at[todo[hit]] = self.samples[_rank(self.mark_words, self.mark_before, row[hit])].astype(np.int64) + steps
+            todo, row = todo[~hit], self.back[row[~hit]].astype(np.int64)
             steps += 1
         return at % self.n
 
@@ -150,19 +163,19 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     return order
 
 
-_LETTER = None
+_LETTER: np.ndarray | None = None
+_PLANES = 0x110000
 
 
 def _letters(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of letters and digits of a text, lower case, and their places; codes beyond the plane share one."""
+    """Codes of letters and digits of a text, lower case, and their places."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((chr(i).isalnum() if not 0xD800 <= i < 0xE000 else False for i in range(0x10000)), bool, 0x10000)
-        _LETTER[0xFFFF] = True
+        _LETTER = np.fromiter((chr(i).isalnum() for i in range(_PLANES)), bool, _PLANES)
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    codes = np.minimum(np.frombuffer(low.encode("utf-32-le"), np.uint32), 0xFFFF)
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     places = np.flatnonzero(_LETTER[codes])
     return codes[places].astype(np.int32), places
 
@@ -171,69 +184,83 @@ def _rule(codes: np.ndarray) -> str:
     return "zh" if len(codes) and (codes >= 0x3400).sum() * 3 >= len(codes) else "en"
 
 
+class Group:
+    """The passages of one language, one after another, and every place where a seed begins."""
+
+    def __init__(self, numbers: list[int], passages: list[np.ndarray], size: int, least: int) -> None:
+        self.size, self.least = size, least
+        self.text = np.concatenate(passages)
+        lengths = np.array([len(x) for x in passages])
+        self.begin = np.concatenate(([0], np.cumsum(lengths)))
+        self.number = np.array(numbers)
+        at = np.arange(len(self.text))
+        self.of = np.repeat(np.arange(len(passages)), lengths)
+        self.starts = at[at + size <= self.begin[1:][self.of]]
+        hashes = _hashes(self.text, size)[self.starts]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.hashed = hashes[order], self.starts[order]
+
+    def rare(self, counts: np.ndarray, left: float) -> np.ndarray:
+        """Which seeds to locate: those at most as frequent as the bound of their passage.
+
+        A letter's frequency is that of the most frequent seed over it. The seeds
+        above the bound cover only letters above it, at most `left` of the passage.
+        """
+        seed = np.zeros(len(self.text), np.int64)
+        seed[self.starts] = counts
+        frequency = seed.copy()
+        for i in range(1, self.size):
+            np.maximum(frequency[i:], seed[:-i], out=frequency[i:])
+        order = np.lexsort((-frequency, self.of))
+        allowed = np.floor(left * np.diff(self.begin)).astype(np.int64)
+        bound = frequency[order][self.begin[:-1] + np.minimum(allowed, np.diff(self.begin) - 1)]
+        return (counts > 0) & (counts <= bound[self.of[self.starts]])
+
+
 class Items:
-    """The passages of a block of items, and the windows to search for."""
+    """The passages of a block of items, with their seeds for search and for comparison."""
 
-    def __init__(self, items: pd.DataFrame) -> None:
-        self.ids, self.codes, self.rules = [], [], []
+    def __init__(self, items: pd.DataFrame, share: float) -> None:
+        self.ids, self.codes, rules = [], [], []
         for key, text in zip(items["item_id"], items["passage"], strict=True):
             codes, _ = _letters(canonical(text) if text else "")
             if len(codes):
                 self.ids.append(key)
                 self.codes.append(codes)
-                self.rules.append(_rule(codes))
+                rules.append(_rule(codes))
+        self.share = share
+        shown = (1 - 2 * CHANGED) * share
+        self.left, self.need = LEFT_OUT * shown, (1 - LEFT_OUT) * shown
         self.groups = []
-        for lang, (_, size, stride, _) in RULES.items():
-            item, start = [], []
-            for i, codes in enumerate(self.codes):
-                if self.rules[i] == lang and len(codes) >= size:
-                    at = np.unique(np.append(np.arange(0, len(codes) - size + 1, stride), len(codes) - size))
-                    item.append(np.full(len(at), i))
-                    start.append(at)
-            if item:
-                item, start = np.concatenate(item), np.concatenate(start)
-                windows = np.stack([self.codes[i][a : a + size] for i, a in zip(item, start, strict=True)])
-                self.groups.append((size, item, start, windows))
-
-    def rare(self, size: int, item: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Windows to locate: all but the most frequent, which together cover under LEFT_OUT of their passage."""
-        keep = count > 0
-        often = np.flatnonzero(count > 4)
-        often = often[np.lexsort((-count[often], item[often]))]
-        current, covered = -1, None
-        for w in often:
-            if item[w] != current:
-                current, covered, full = item[w], np.zeros(len(self.codes[item[w]]), bool), False
-            if full:
-                continue
-            was = covered[start[w] : start[w] + size].copy()
-            covered[start[w] : start[w] + size] = True
-            if covered.sum() > LEFT_OUT * len(covered):
-                covered[start[w] : start[w] + size] = was
-                full = True
-            else:
-                keep[w] = False
-        return keep
-
-
-    def promising(self, hits: list[np.ndarray]) -> list[tuple[int, int]]:
-        """(document, item) of which the located windows cover more than a chance share of the passage.
+        for lang, (least, size) in RULES.items():
+            own = [i for i, r in enumerate(rules) if r == lang and len(self.codes[i]) >= size]
+            if own:
+                self.groups.append(Group(own, [self.codes[i] for i in own], size, least))
 
-        A case covers half, of which the windows left out have LEFT_OUT at most;
-        changed letters hide the windows around them.
-        """
+    def promising(self, index: FMIndex, symbol: np.ndarray, ends: np.ndarray) -> list[tuple[Group, np.ndarray, np.ndarray]]:
+        """By group: documents, in order, and the item in the group of which located seeds cover the share that a case must show."""
         out = []
-        for found in hits:
-            doc, item, start, size = found  # sorted by document, item, start
+        for group in self.groups:
+            low, high = index.search(symbol[group.text], group.starts, group.size)
+            keep = np.flatnonzero(group.rare(high - low, self.left))
+            hits = []
+            for part in np.array_split(keep, max(1, int((high - low)[keep].sum()) // LOCATED)):
+                counts = (high - low)[part]
+                offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                doc = np.searchsorted(ends, index.locate(np.repeat(low[part], counts) + offsets), side="right")
+                # Places of the text in one number: a passage's letters follow one another.
+                hits.append(_distinct(doc * np.int64(len(group.text)) + np.repeat(group.starts[part], counts)))
+            found = _distinct(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+            doc, start = found // len(group.text), found % len(group.text)
+            item = group.of[start]
             if not len(doc):
                 continue
             head = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
-            gain = np.where(head, size, np.minimum(size, np.diff(start, prepend=0)))
+            gain = np.where(head, group.size, np.minimum(group.size, np.diff(start, prepend=0)))
             first = np.flatnonzero(head)
-            total = np.add.reduceat(gain, first)
-            need = LEAST_HIT * np.array([len(self.codes[i]) for i in item[first]])
-            out += [(int(d), int(i)) for d, i in zip(doc[first][total >= need], item[first][total >= need], strict=True)]
-        return sorted(set(out))
+            enough = np.add.reduceat(gain, first) >= self.need * np.diff(group.begin)[item[first]]
+            out.append((group, doc[first][enough], item[first][enough]))
+        return out
 
 
 def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -244,43 +271,102 @@ def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def _common_seeds(doc: np.ndarray, passage: np.ndarray, seed: int) -> list[tuple[int, int]]:
-    """(place in the passage, place in the document) of all common seeds, in the order of the document."""
-    a, b = _hashes(passage, seed), _hashes(doc, seed)
-    order = np.argsort(a, kind="stable")
-    low, high = np.searchsorted(a[order], b, side="left"), np.searchsorted(a[order], b, side="right")
-    counts = high - low
-    i = np.repeat(np.arange(len(b)), counts)
-    j = order[np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-    return list(zip(j.tolist(), i.tolist(), strict=True))
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
-def runs(doc: np.ndarray, passage: np.ndarray, seed: int, least: int) -> list[tuple[int, int, int, int]]:
-    """(passage start, end, document start, end) of the runs common to both, of at least `least` letters.
+def _segments(letters: np.ndarray, group: Group, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(item in the group, place in its passage, place in the document, letters) of all maximal equal pieces of at least a seed.
 
-    A run may hold changed, added or missing letters where both sides go on.
+    Of a document and the wanted items; by item, in the order of the document.
     """
-    found = _common_seeds(doc, passage, seed)
-    # Seeds in the order of the document; each joins the run that it continues.
-    open_runs: list[list[int]] = []  # passage start, end, document start, end, letters matched
-    out = []
-    for j, i in found:
-        best = None
-        for r in open_runs:
-            dj, di = j - r[1], i - r[3]
-            if j + seed > r[1] and i + seed > r[3] and -seed < dj <= GAP and -seed < di <= GAP and abs(dj - di) <= 3 and (dj == di or min(dj, di) >= -2):
-                if best is None or abs(dj - di) < abs((j - best[1]) - (i - best[3])):
-                    best = r
+    seeds = _hashes(letters, group.size)
+    low = np.searchsorted(group.hashes, seeds, side="left")
+    at = np.flatnonzero(group.hashes[np.minimum(low, len(group.hashes) - 1)] == seeds)
+    low = low[at]
+    counts = np.searchsorted(group.hashes, seeds[at], side="right") - low
+    start = group.hashed[np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+    asked = np.zeros(len(group.number), bool)
+    asked[wanted] = True
+    own = np.flatnonzero(asked[group.of[start]])
+    start, at = start[own], np.repeat(at, counts)[own]
+    # Seeds of one piece lie on one diagonal, one letter apart.
+    order = np.lexsort((at, start - at, group.of[start]))
+    start, at = start[order], at[order]
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), (np.diff(at) != 1) | (np.diff(start) != 1) | (group.of[start[1:]] != group.of[start[:-1]]))))
+    length = np.diff(np.append(head, len(at))) + group.size - 1
+    start, at = start[head], at[head]
+    item = group.of[start]
+    order = np.lexsort((start, at, item))
+    item, start = item[order], start[order]
+    return item, start - group.begin[item], at[order], length[order]
+
+
+def _enough(item: np.ndarray, j: np.ndarray, length: np.ndarray, group: Group, wanted: np.ndarray, share: float) -> np.ndarray:
+    """The wanted items of which pieces cover at least `share`."""
+    order = np.lexsort((j, item))
+    item, begin, end = item[order], j[order], (j + length)[order]
+    base = item.astype(np.int64) * (int(np.diff(group.begin).max()) + 1)
+    reach = np.concatenate(([0], np.maximum.accumulate(base + end)[:-1])) - base
+    new = np.maximum(0, end - np.maximum(begin, np.maximum(reach, 0)))
+    covered = np.bincount(item, weights=new, minlength=len(group.number))
+    return wanted[covered[wanted] >= share * np.diff(group.begin)[wanted]]
+
+
+def runs(pieces: list[tuple[int, int, int]], seed: int, least: int) -> list[tuple[int, int, int, int]]:
+    """(passage start, end, document start, end) of the runs that equal pieces (passage, document, letters) form, of at least `least` letters.
+
+    A run may hold changed, added or missing letters where both sides go on. A
+    chain of pieces in which too much differs is taken apart into its runs.
+    """
+    # Pieces in the order of the document; each joins the chain that it continues.
+    open_chains: list[list[tuple[int, int, int, int, int]]] = []  # passage start, end, document start, end, letters new
+    done = []
+    for j, i, n in pieces:
+        best, nearest = None, None
+        for chain in open_chains:
+            _, end, _, to, _ = chain[-1]
+            dj, di = j - end, i - to
+            if -seed < dj <= GAP and -seed < di <= GAP and abs(dj - di) <= 3 and (dj == di or min(dj, di) >= -2) and j + n > end and i + n > to and (best is None or abs(dj - di) < nearest):
+                best, nearest = chain, abs(dj - di)
         if best is None:
-            open_runs.append([j, j + seed, i, i + seed, seed])
+            open_chains.append([(j, j + n, i, i + n, n)])
         else:
-            best[4] += min(seed, j + seed - best[1], i + seed - best[3])
-            best[1], best[3] = j + seed, i + seed
-        if len(open_runs) > 64:
-            out += [r for r in open_runs if i - r[3] > GAP + seed]
-            open_runs = [r for r in open_runs if i - r[3] <= GAP + seed]
-    out += open_runs
-    return [(a, b, c, d) for a, b, c, d, n in out if b - a >= least and n >= (1 - CHANGED) * (b - a)]
+            best.append((j, j + n, i, i + n, min(n, j + n - best[-1][1], i + n - best[-1][3])))
+        if len(open_chains) > 16:
+            done += [c for c in open_chains if i - c[-1][3] > GAP]
+            open_chains = [c for c in open_chains if i - c[-1][3] <= GAP]
+    out: list[tuple[int, int, int, int]] = []
+    todo = done + open_chains
+    while todo:
+        chain = todo.pop()
+        if chain[-1][1] - chain[0][0] < least:
+            continue
+        first, last = _longest_alike(chain)
+        a, b, c, d = chain[first][0], chain[last][1], chain[first][2], chain[last][3]
+        if b - a >= least:
+            out.append((a, b, c, d))
+            todo += [x for x in (chain[:first], chain[last + 1 :]) if x]
+    return out
+
+
+def _longest_alike(chain: list[tuple[int, int, int, int, int]]) -> tuple[int, int]:
+    """First and last piece of the longest part of a chain in which at most CHANGED of the letters differ."""
+    need = 1 - CHANGED
+    matched = list(itertools.accumulate(x[4] for x in chain))
+    # The part from piece k to piece m is alike if value[m] >= bound[k].
+    value = [matched[m] - need * x[1] for m, x in enumerate(chain)]
+    bound = [matched[k] - (x[1] - x[0]) - need * x[0] for k, x in enumerate(chain)]
+    # A start is of use only if its bound is below those of all earlier ones; the lower the bound, the farther the end.
+    starts = [k for k, (b, low) in enumerate(zip(bound, itertools.accumulate([math.inf, *bound], min), strict=False)) if b < low]
+    best, m = (0, 0, 0), len(chain) - 1
+    for k in reversed(starts):
+        while m > k and value[m] < bound[k] - 1e-9:
+            m -= 1
+        if m >= k:
+            best = max(best, (chain[m][1] - chain[k][0], k, m))
+    return best[1], best[2]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -293,83 +379,131 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search_shard(docs: list[tuple[int, np.ndarray, np.ndarray]], items: Items, share: float) -> list[tuple]:
-    ends = np.cumsum([len(c) + 1 for _, c, _ in docs])
+def _indexed(docs: list[np.ndarray]) -> tuple[FMIndex, np.ndarray, np.ndarray]:
+    """The index of a shard, the symbol of each code (-1 where the shard has none), and the ends of its documents."""
+    ends = np.cumsum([len(c) + 1 for c in docs])
     codes = np.zeros(ends[-1] + 1, np.int32)
-    for (_, c, _), end in zip(docs, ends, strict=True):
+    for c, end in zip(docs, ends, strict=True):
         codes[end - 1 - len(c) : end - 1] = c
-    present = np.zeros(0x10000, bool)
+    present = np.zeros(_PLANES, bool)
     present[codes] = True
-    present[0] = True
     symbol = np.where(present, np.cumsum(present) - 1, -1).astype(np.int32)
-    index = FMIndex(symbol[codes], int(present.sum()))
-    hits: list[np.ndarray] = []  # document, item, start of a window of the item
-    for size, item, start, windows in items.groups:
-        low, high = index.search(symbol[windows])
-        keep = np.flatnonzero(items.rare(size, item, start, high - low))
-        for part in np.array_split(keep, max(1, int((high - low)[keep].sum()) // 1_000_000)):
-            counts = (high - low)[part]
-            if not counts.sum():
-                continue
-            offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            doc = np.searchsorted(ends, index.locate(np.repeat(low[part], counts) + offsets), side="right")
-            hits.append(np.unique(np.stack((doc, np.repeat(item[part], counts), np.repeat(start[part], counts), np.repeat(size, len(doc)))), axis=1))
-    near = items.promising(hits)
+    return FMIndex(symbol[codes], int(present.sum())), symbol, ends
+
+
+def _compared(docs: list[tuple[int, np.ndarray, np.ndarray]], near: list[tuple[Group, np.ndarray, np.ndarray]], items: Items) -> pd.DataFrame:
+    """The cases among documents and items that are near."""
     out = []
-    for d, i in near:
-        if d >= len(docs):
-            continue
-        key, letters, places = docs[d]
-        least, _, _, seed = RULES[items.rules[i]]
-        common = runs(letters, items.codes[i], seed, least)
-        covered = sum(b - a for a, b in _merged([(a, b) for a, b, _, _ in common]))
-        if covered >= share * len(items.codes[i]):
-            spans = [(int(places[a]), int(places[b - 1]) + 1) for a, b in _merged([(c, e) for _, _, c, e in common])]
-            out.append((key, items.ids[i], covered / len(items.codes[i]), spans))
-    return out
+    for group, doc, item in near:
+        firsts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else []
+        for d, wanted in zip(doc[firsts], np.split(item, firsts[1:]), strict=True) if len(doc) else ():
+            if d < len(docs):
+                out += _cases(docs[d], group, wanted, items)
+    return pd.DataFrame(out, columns=_COLUMNS)
+
+
+def _cases(doc: tuple[int, np.ndarray, np.ndarray], group: Group, wanted: np.ndarray, items: Items) -> Iterator[tuple]:
+    """(key, item_id, covered, spans) of the wanted items that are cases in a document."""
+    key, letters, places = doc
+    item, j, at, length = _segments(letters, group, wanted)
+    for i in _enough(item, j, length, group, wanted, (1 - 2 * CHANGED) * items.share):
+        whole = int(group.begin[i + 1] - group.begin[i])
+        own = slice(*np.searchsorted(item, (i, i + 1)))
+        common = runs(list(zip(j[own].tolist(), at[own].tolist(), length[own].tolist(), strict=True)), group.size, group.least)
+        covered = sum(y - x for x, y in _merged([(x, y) for x, y, _, _ in common]))
+        if covered >= items.share * whole:
+            spans = [(int(places[x]), int(places[y - 1]) + 1) for x, y in _merged([(x, y) for _, _, x, y in common])]
+            yield key, items.ids[group.number[i]], covered / whole, spans
 
 
 _COLUMNS = ["doc_id", "item_id", "covered", "spans"]
+FOUND = "doc_id bigint, item_id bigint, covered double, spans array<struct<start: bigint, end: bigint>>"
+
+
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(key, letters, places) of the documents with letters, SHARD letters at a time."""
+    docs, held = [], 0
+    for batch in batches:
+        for key, text in zip(batch["doc_id"], batch["text"], strict=True):
+            letters, places = _letters(canonical(text))
+            if not len(letters):
+                continue
+            docs.append((key, letters, places.astype(np.int32)))
+            held += len(letters) + 1
+            if held >= SHARD:
+                yield docs
+                docs, held = [], 0
+    if docs:
+        yield docs
 
 
 def _searcher(block: pd.DataFrame, share: float):
+    """Builds the index of each shard and searches it for one block of items."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items = Items(block, share)
+        for docs in _shards(batches):
+            near = items.promising(*_indexed([c for _, c, _ in docs]))
+            yield _compared(docs, near, items)
+
+    return run
+
+
+def _builder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for docs in _shards(batches):
+        yield pd.DataFrame({"shard": [pickle.dumps((docs, *_indexed([c for _, c, _ in docs])), protocol=5)]})
+
+
+def index(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(shard binary): the FM-index of each shard with its documents' letters, as a table in the shared folder.
+
+    For several searches of one corpus; about 5 bytes a letter.
+    """
+    docs = documents.select(documents[key].cast("bigint").alias("doc_id"), documents[text].alias("text")).filter("text is not null")
+    return cut(docs.mapInPandas(_builder, "shard binary"), "fm-index")
+
+
+def _index_searcher(block: pd.DataFrame, share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = Items(block)
-        docs, held = [], 0
+        items = Items(block, share)
         for batch in batches:
-            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-                letters, places = _letters(canonical(text))
-                if not len(letters):
-                    continue
-                docs.append((key, letters, places))
-                held += len(letters) + 1
-                if held >= SHARD:
-                    yield pd.DataFrame(_search_shard(docs, items, share), columns=_COLUMNS)
-                    docs, held = [], 0
-        if docs:
-            yield pd.DataFrame(_search_shard(docs, items, share), columns=_COLUMNS)
+            for shard in batch["shard"]:
+                docs, *built = pickle.loads(shard)
+                yield _compared(docs, items.promising(*built), items)
 
     return run
 
 
+def _blocks(items: DataFrame) -> Iterator[pd.DataFrame]:
+    stated = items.select(F.col("item_id").cast("bigint").alias("item_id"), "passage").filter("passage is not null").orderBy("item_id")
+    rows = stated.toLocalIterator(prefetchPartitions=False)
+    while block := [r for _, r in zip(range(BLOCK), rows)]:
+        yield pd.DataFrame(block, columns=["item_id", "passage"])
+
+
+def search_index(shards: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
+    """As leaked_items, in a table that `index` made: one pass over the index for each block of items, none over the texts."""
+    out = None
+    for block in _blocks(items):
+        found = shards.mapInPandas(_index_searcher(block, share), FOUND)
+        out = found if out is None else out.unionByName(found)
+    return shards.sparkSession.createDataFrame([], FOUND) if out is None else out
+
+
 def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, covered, spans): documents with at least `share` of an item's passage.
 
-    items: (item_id bigint, passage string), the stated query set; they go to
-    the tasks in blocks of BLOCK, so that each task holds one block. spans are
-    the places to remove in the consistent form of the text. Null and blank
-    texts and passages never count; repeated documents are reported each; a
-    document as long as several shards is indexed whole.
+    items: (item_id bigint, passage string), the stated query set, which goes to
+    the tasks in blocks of BLOCK. One block is searched as the corpus is read;
+    for more, the index is built once and kept. spans are the places to remove in
+    the consistent form of the text. Null and blank texts and passages never
+    count; repeated documents are reported each; a document as long as several
+    shards is indexed whole; passages shorter than a seed are never found.
     """
-    stated = items.select(F.col("item_id").cast("bigint").alias("item_id"), "passage").filter("passage is not null").orderBy("item_id")
+    blocks = _blocks(items)
+    first, more = next(blocks, None), next(blocks, None)
+    if more is not None:
+        return search_index(index(documents, key, text), items, share)
     docs = documents.select(documents[key].cast("bigint").alias("doc_id"), documents[text].alias("text")).filter("text is not null")
-    out = None
-    rows = stated.toLocalIterator(prefetchPartitions=False)
-    while True:
-        block = [r for _, r in zip(range(BLOCK), rows)]
-        if not block and out is not None:
-            return out
-        found = docs.mapInPandas(_searcher(pd.DataFrame(block, columns=["item_id", "passage"]), share), "doc_id bigint, item_id bigint, covered double, spans array<struct<start: bigint, end: bigint>>")
-        out = found if out is None else out.unionByName(found)
-        if len(block) < BLOCK:
-            return out
+    block = pd.DataFrame({"item_id": [], "passage": []}) if first is None else first
+    return docs.mapInPandas(_searcher(block, share), FOUND)

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from siltstone.llm import leakage
 from siltstone.llm.leakage import FMIndex, leaked_items, runs, suffix_array
@@ -17,7 +19,7 @@ def test_suffix_array_and_search():
         t = np.append(t + 1, 0).astype(np.int32)
         index = FMIndex(t, sigma + 1)
         patterns = r.randint(1, sigma + 1, (30, 2))
-        for p, low, high in zip(patterns, *index.search(patterns), strict=True):
+        for p, low, high in zip(patterns, *index.search(patterns.ravel(), np.arange(0, 60, 2), 2), strict=True):
             at = [i for i in range(n) if (t[i : i + 2] == p).all()]
             assert high - low == len(at) and sorted(index.locate(np.arange(low, high)).tolist()) == at
     assert suffix_array(np.zeros(50, np.int32), 1).tolist() == list(range(49, -1, -1))
@@ -60,17 +62,88 @@ def test_shards_and_blocks_change_nothing(spark, monkeypatch, small):
     assert {(r.doc_id, r.item_id) for part in search(iter([pdf])) for r in part.itertuples()} == want
 
 
+def plain(docs, items, share=0.5):
+    """Every document against every item by their runs, without index and prefilter."""
+    block = leakage.Items(items, share)
+    want = set()
+    for key, text in docs:
+        letters, _ = leakage._letters(leakage.canonical(text))
+        for group in block.groups:
+            item, j, at, n = leakage._segments(letters, group, np.arange(len(group.number)))
+            for i, number in enumerate(group.number):
+                pieces = list(zip(j[item == i].tolist(), at[item == i].tolist(), n[item == i].tolist(), strict=True))
+                common = runs(pieces, group.size, group.least)
+                if sum(b - a for a, b in leakage._merged([(a, b) for a, b, _, _ in common])) >= share * len(block.codes[number]):
+                    want.add((key, block.ids[number]))
+    return want
+
+
 def test_against_plain_comparison(spark, small):
-    """Every document against every item by its runs, without index."""
     docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/heldout_items.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, "doc_id", "text", items).collect()}
-    block = leakage.Items(items.toPandas())
-    want = set()
-    for d in docs.filter("text is not null").collect():
-        letters, _ = leakage._letters(leakage.canonical(d["text"]))
-        for i, codes in enumerate(block.codes):
-            least, _, _, seed = leakage.RULES[block.rules[i]]
-            common = runs(letters, codes, seed, least) if len(letters) else []
-            if sum(b - a for a, b in leakage._merged([(a, b) for a, b, _, _ in common])) >= 0.5 * len(codes):
-                want.add((d["doc_id"], block.ids[i]))
-    assert got == want
+    assert got and got == plain([(d["doc_id"], d["text"]) for d in docs.filter("text is not null").collect()], items.toPandas())
+
+
+EN = "revenue margin segment demand supply quarter pricing capacity order backlog region customer inventory product growth cost cash ratio debt asset".split()
+
+
+def words(r, n):
+    return "".join(r.choice(EN) for _ in range(n))
+
+
+@pytest.mark.parametrize("every", [14, 16, 20, 24, 26, 28, 32])
+def test_changed_letters_at_regular_places(spark, every):
+    """A passage copied whole with one letter changed in every so many is a case, whatever windows that leaves unbroken."""
+    r = random.Random(every)
+    whole = words(r, 75)[:481]
+    text = "".join("q" if i % every == every - 1 else c for i, c in enumerate(whole))
+    docs = spark.createDataFrame([(1, words(r, 50) + text + words(r, 50)), (2, words(r, 300))], "doc_id bigint, text string")
+    got = leaked_items(docs, "doc_id", "text", spark.createDataFrame([(1, whole)], "item_id bigint, passage string")).collect()
+    assert [(x["doc_id"], x["item_id"]) for x in got] == [(1, 1)]
+
+
+def test_planted_edits_against_plain_comparison(spark):
+    """Random cuts, changes, insertions and losses, near and beyond the bound: index and plain comparison agree."""
+    r = random.Random(11)
+    items = [(i, words(r, 70) if i % 2 else passage(r, 240)) for i in range(12)]
+    docs = []
+    for d in range(150):
+        key, own = r.choice(items)
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            a = r.randint(0, len(own) // 2)
+            part = list(own[a : a + r.randint(20, len(own))])
+            for _ in range(int(len(part) * r.choice([0, 0.02, 0.05, 0.08, 0.11, 0.15]))):
+                at = r.randrange(len(part))
+                part[at] = r.choice(["", "x", part[at] + "y", "改"])
+            parts.append("".join(part))
+        filler = (words if key % 2 else passage)(r, 60)
+        docs.append((d, filler.join(parts) + filler))
+    df, table = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    got = {(x["doc_id"], x["item_id"]) for x in leaked_items(df, "doc_id", "text", table).collect()}
+    want = plain(docs, pd.DataFrame(items, columns=["item_id", "passage"]))
+    assert got == want and 20 < len(want) < 150
+
+
+def test_rare_letters_are_told_apart(spark):
+    """Ideographs beyond the basic plane keep their identity."""
+    r = random.Random(3)
+    rare = "".join(chr(0x20000 + r.randrange(5000)) for _ in range(120))
+    other = "".join(chr(0x20000 + r.randrange(5000)) for _ in range(120))
+    df = spark.createDataFrame([(1, rare), (2, other)], "doc_id bigint, text string")
+    got = leaked_items(df, "doc_id", "text", spark.createDataFrame([(5, rare)], "item_id bigint, passage string")).collect()
+    assert [x["doc_id"] for x in got] == [1]
+
+
+def test_a_good_part_of_a_bad_chain_counts():
+    """Sixty equal letters count although the chain goes on with pieces in which too much differs."""
+    pieces = [(0, 0, 60), *((60 + 18 * k + 12, 60 + 18 * k + 12, 6) for k in range(20))]
+    assert (0, 60, 0, 60) in [(a, min(b, 60), c, min(d, 60)) for a, b, c, d in runs(pieces, 6, 20)]
+
+
+def test_stored_index_serves_many_searches(spark, small):
+    docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/heldout_items.parquet")
+    shards = leakage.index(docs, "doc_id", "text")
+    got = {(r["doc_id"], r["item_id"]) for part in (items.filter("item_id % 2 = 0"), items.filter("item_id % 2 = 1")) for r in leakage.search_index(shards, part).collect()}
+    assert got == {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, "doc_id", "text", items).collect()}
+    assert leakage.search_index(shards, items.limit(0)).count() == 0
