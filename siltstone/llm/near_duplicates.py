@@ -6,9 +6,10 @@ of the signature, held as sorted keys. Every two rows that share a prefix of
 the depth at which the target recall is reached at the threshold are compared:
 within a task up to BLOCK rows of a prefix, and beyond that block against block
 in tasks of their own. A sketch of two bits for each hash thins the candidates
-before their texts are compared exactly; its loss is part of the recall. Equal
-texts are folded into one before, and groups are the connected components of
-the verified links.
+where they meet, and two bits more, joined to the pairs that are left, thin them
+again before their texts are compared exactly; what both lose is part of the
+recall. Equal texts are folded into one before, and groups are the connected
+components of the verified links.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.repeated_lines import excess_lines, keyed_rows, line_keys, prepared
@@ -33,9 +34,10 @@ HASHES, TREES, DEPTH = 120, 20, 6
 BLOCK = 1 << 15
 #: Rows of a run from which on each is compared with all that follow at once.
 LONG = 64
-#: 64-bit words of a sketch: the lower bits of all hashes, then their upper bits.
-WORDS = 2 * -(-HASHES // 64)
-#: Share of the pairs at the threshold that the sketch may lose, and its normal quantile.
+#: 64-bit words that hold one bit of every hash; a sketch has two such planes, and the finer one four.
+PLANE = -(-HASHES // 64)
+WORDS = 2 * PLANE
+#: Share of the pairs at the threshold that each sketch may lose, and its normal quantile.
 LOSS, QUANTILE = 0.01, 2.33
 _RNG = np.random.RandomState(20240229)
 _MULTIPLY = _RNG.randint(0, 2**31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -44,8 +46,8 @@ _PLACES = _RNG.randint(0, 2**63, SHINGLE, dtype=np.int64).astype(np.uint64) * np
 
 
 def depth_for(threshold: float, recall: float, trees: int = TREES) -> int:
-    """The longest prefix with which `trees` tries and the sketch find a pair at the threshold with the target recall."""
-    need = 1.0 - max(0.0, 1.0 - recall / (1.0 - LOSS)) ** (1.0 / trees)
+    """The longest prefix with which `trees` tries and both sketches find a pair at the threshold with the target recall."""
+    need = 1.0 - max(0.0, 1.0 - recall / (1.0 - 2 * LOSS)) ** (1.0 / trees)
     return max(1, min(DEPTH, int(math.log(need) / math.log(threshold))))
 
 
@@ -78,7 +80,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def _entries(depth: int):
+_SKETCH = [f"s{i}" for i in range(WORDS)]
+_FINE = [f"s{i}" for i in range(2 * WORDS)]
+
+
+def _signed(depth: int):
+    """(rep, tops, words of the finer sketch) of each text; the first half of the words is the sketch."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = np.arange(TREES, dtype=np.uint64)
         for batch in batches:
@@ -86,30 +94,28 @@ def _entries(depth: int):
                 continue
             sigs = np.stack([signature(shingle_hashes(t)) for t in batch["t"]])
             mixed = _mix(sigs.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            bits = np.stack([mixed & np.uint64(1), (mixed >> np.uint64(1)) & np.uint64(1)], axis=1).astype(np.uint8)
-            sketch = np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, WORDS * 32 - HASHES))), axis=2).reshape(len(sigs), -1).view(np.int64)
+            bits = np.stack([(mixed >> np.uint64(i)) & np.uint64(1) for i in range(4)], axis=1).astype(np.uint8)
+            words = np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, PLANE * 64 - HASHES))), axis=2).reshape(len(sigs), -1).view(np.int64)
             by_tree = mixed.reshape(len(sigs), TREES, DEPTH)
             top = np.broadcast_to(tree, (len(sigs), TREES)).copy()
             for i in range(depth):
                 top = _mix(top * np.uint64(0x9E3779B97F4A7C15) + by_tree[:, :, i])
-            out = {"top": top.ravel().view(np.int64), "rep": np.repeat(batch["rep"].to_numpy(), TREES)}
-            yield pd.DataFrame(out | {f"s{i}": np.repeat(sketch[:, i], TREES) for i in range(WORDS)})
+            yield pd.DataFrame({"rep": batch["rep"].to_numpy(), "tops": list(top.view(np.int64))} | {c: words[:, i] for i, c in enumerate(_FINE)})
 
     return run
 
 
-def most_unlike(threshold: float) -> int:
-    """Hashes whose bits may differ between two sketches; at the threshold all but LOSS of the pairs stay within."""
-    equal = (1.0 + 3.0 * threshold) / 4.0
+def most_unlike(threshold: float, bits: int = 2) -> int:
+    """Hashes any of whose bits may differ between two sketches; at the threshold all but LOSS of the pairs stay within."""
+    equal = threshold + (1.0 - threshold) / (1 << bits)
     return HASHES - math.floor(HASHES * equal - QUANTILE * math.sqrt(HASHES * equal * (1.0 - equal)))
 
 
 def _unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For sketches with one row for each word: the number of hashes whose bits differ."""
-    half = WORDS // 2
-    out = np.bitwise_count((x[0] ^ y[0]) | (x[half] ^ y[half]))
-    for i in range(1, half):
-        out += np.bitwise_count((x[i] ^ y[i]) | (x[half + i] ^ y[half + i]))
+    out = np.bitwise_count((x[0] ^ y[0]) | (x[PLANE] ^ y[PLANE]))
+    for i in range(1, PLANE):
+        out += np.bitwise_count((x[i] ^ y[i]) | (x[PLANE + i] ^ y[PLANE + i]))
     return out
 
 
@@ -155,9 +161,6 @@ def _within_runs(top: np.ndarray, rep: np.ndarray, sketch: np.ndarray, most: int
             yield rep[near], rep[near + step]
 
 
-_SKETCH = [f"s{i}" for i in range(WORDS)]
-
-
 def _arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return batch["rep"].to_numpy(), np.stack([batch[c].to_numpy().view(np.uint64) for c in _SKETCH])
 
@@ -256,23 +259,34 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.8, recall: float = 0.9,
     their number, in tasks of at most `block` rows against as many.
     """
     texts = texts.filter(F.length("t") >= SHINGLE).select("rep", "t")
-    sketch = ", ".join(f"{c} bigint" for c in _SKETCH)
-    entries = texts.mapInPandas(_entries(depth_for(threshold, recall)), f"top bigint, rep bigint, {sketch}")
+    words = lambda names: ", ".join(f"{c} bigint" for c in names)
+    signed = cut(texts.mapInPandas(_signed(depth_for(threshold, recall)), f"rep bigint, tops array<bigint>, {words(_FINE)}"), "signatures")
+    entries = signed.select(F.explode("tops").alias("top"), "rep", *_SKETCH)
     # By top alone, so that no two rows of one prefix are in different tasks unless block stands against block.
     ordered = entries.repartition("top").sortWithinPartitions("top")
-    raw = cut(ordered.mapInPandas(_alike(threshold, block), f"a bigint, b bigint, top bigint, block bigint, {sketch}"), "alike")
+    raw = cut(ordered.mapInPandas(_alike(threshold, block), f"a bigint, b bigint, top bigint, block bigint, {words(_SKETCH)}"), "alike")
     hot = raw.filter("b is null").drop("b").withColumnRenamed("a", "rep")
     counts = hot.groupBy("top").agg(F.max("block").alias("most"))
     cells = hot.join(counts, "top").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "most")))
     cells = cells.select("top", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", *_SKETCH)
     crossed = cells.repartition("top", "x", "y").sortWithinPartitions("top", "x", "y").mapInPandas(_crossed(threshold), "a bigint, b bigint")
-    found = cut(raw.filter("b is not null").select("a", "b").union(crossed).distinct(), "candidates")
+    met = raw.filter("b is not null").select("a", "b").union(crossed).distinct()
+    side = lambda end: signed.select(F.col("rep").alias(end), *[F.col(c).alias(f"{end}{c}") for c in _FINE])
+    found = cut(met.join(side("a"), "a").join(side("b"), "b").filter(_differing("a", "b") <= most_unlike(threshold, 4)).select("a", "b"), "candidates")
     ids = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct()
     near = texts.join(small(ids, 2 * found.count(), 16), "rep", "left_semi")
     left, right = near.select(F.col("rep").alias("a"), F.col("t").alias("ta")), near.select(F.col("rep").alias("b"), F.col("t").alias("tb"))
     return found.join(left, "a").join(right, "b").mapInPandas(_verify(threshold), "a bigint, b bigint")
 
 
+def _differing(a: str, b: str) -> Column:
+    """Hashes any of whose four bits differ, in the JVM."""
+    planes = [F.lit(0)] * PLANE
+    for i, c in enumerate(_FINE):
+        planes[i % PLANE] = planes[i % PLANE].bitwiseOR(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
+    return sum((F.bit_count(x) for x in planes[1:]), F.bit_count(planes[0]))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, for links (a, b).
 
@@ -320,8 +334,9 @@ def lean_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """(row_id, t): letters and digits of each text, in consistent form, without its source's repeated lines and without markup."""
     excess = cut(excess_lines(cut(keyed_rows(df, key, source, text), "lines")), "excess")
     rows = df.select(df[key].cast("bigint").alias("row_id"), F.xxhash64(df[source]).alias("fid"), df[text].alias("_text")).filter("_text is not null")
-    # The list of a source is short; where there are too many sources to broadcast, texts are shuffled by source.
-    joined = rows.join(small(excess, excess.count(), 400), "fid", "left")
+    # Where the lists of all sources are too large to broadcast, texts are shuffled by source.
+    size = excess.agg(F.sum(F.lit(32) + 8 * F.size("excess"))).first()[0] or 0
+    joined = rows.join(small(excess, size, 1), "fid", "left")
     return joined.select("row_id", "_text", "excess").mapInPandas(_lean, "row_id bigint, t string")
 
 

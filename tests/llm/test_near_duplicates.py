@@ -3,7 +3,10 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
+from siltstone.llm import near_duplicates as N
 from siltstone.llm.near_duplicates import HASHES, SHINGLE, components, depth_for, group_pairs, most_unlike, near_duplicates, shingle_hashes, signature, similar_pairs
 
 
@@ -142,3 +145,35 @@ def test_components_of_a_path_and_a_star(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "row_id bigint, t string")
     assert near_duplicates(df, 0.5).count() == 0
+
+
+def test_finer_sketch_counts_hashes_that_differ(spark):
+    """The pairs' words in the JVM give what the bits of the hashes give."""
+    texts = [(i, "".join(random.Random(i // 2).choice("abcdefghijklmnop") for _ in range(200 + 10 * i))) for i in range(6)]
+    batch = pd.DataFrame(texts, columns=["rep", "t"])
+    (signed,) = N._signed(3)(iter([batch]))
+    mixed = [N._mix(N.signature(N.shingle_hashes(t)).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(15) for _, t in texts]
+    df = spark.createDataFrame(signed.drop(columns="tops"))
+    side = lambda end: df.select(F.col("rep").alias(end), *[F.col(c).alias(f"{end}{c}") for c in N._FINE])
+    got = {(r["a"], r["b"]): r["n"] for r in side("a").crossJoin(side("b")).select("a", "b", N._differing("a", "b").alias("n")).collect()}
+    assert got == {(i, j): int((mixed[i] != mixed[j]).sum()) for i in range(6) for j in range(6)}
+
+
+def test_recall_at_the_threshold(spark):
+    """Planted pairs just above the threshold, among texts that share a third of theirs, are found at the stated rate."""
+    r = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(400)]
+    shared = "".join(r.choice(letters) for _ in range(80))
+    text = lambda n: "".join(r.choice(letters) for _ in range(n))
+    rows, pairs = [], set()
+    for i in range(0, 1200, 2):
+        a = text(240)
+        k = int(240 * r.uniform(0.56, 0.6))
+        x, y = shared + a, shared + a[:k] + text(240 - k)
+        p, q = set(N._shingles(x).tolist()), set(N._shingles(y).tolist())
+        rows += [(i, x), (i + 1, y)]
+        if 0.5 <= len(p & q) / len(p | q) < 0.56:
+            pairs.add((i, i + 1))
+    df = spark.createDataFrame(rows, "rep bigint, t string")
+    got = {(x["a"], x["b"]) for x in N.similar_pairs(df, 0.5, 0.9).collect()}
+    assert len(pairs) > 300 and len(pairs & got) >= 0.9 * len(pairs)
