@@ -16,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +124,7 @@ def packing(documents: DataFrame, specs: DataFrame, key: str = "doc_id", text: s
     pieces = pieces.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / F.col("capacity")))).alias("piece"))
     pieces = pieces.withColumn("first_token", F.col("piece") * F.col("capacity"))
     pieces = pieces.withColumn("tokens", F.least(F.col("capacity"), F.col("size") - F.col("first_token")))
-    full = pieces.filter("tokens = capacity").select("spec_id", F.lit(-1).cast("bigint").alias("block"), F.xxhash64("doc_id", "piece").alias("container"), "doc_id", "piece", "first_token", "tokens")
+    full = pieces.filter("tokens = capacity").select("spec_id", (-1 - F.col("piece")).cast("bigint").alias("block"), F.col("doc_id").alias("container"), "doc_id", "piece", "first_token", "tokens")
     rest = pieces.filter("tokens < capacity").withColumn("block", F.pmod(F.xxhash64("doc_id", "spec_id"), F.lit(blocks)))
     rest = rest.select("spec_id", "block", "capacity", "doc_id", "piece", "first_token", "tokens").repartition("spec_id", "block").sortWithinPartitions("spec_id", "block", "doc_id", "piece")
     return full.unionByName(rest.mapInPandas(_pack_blocks, schema))
@@ -134,9 +135,38 @@ def cut_texts(plan: DataFrame) -> DataFrame:
     return plan.filter("piece > 0").select("spec_id", "doc_id").distinct()
 
 
+def least_containers(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """A number of containers below which no packing can go, whatever the method.
+
+    For every bound a: items over capacity - a stand alone; those over half the
+    capacity need a container each; what items from a to half the capacity
+    exceed the room beside the latter needs containers of its own.
+    """
+    order = np.argsort(sizes)
+    s, n = sizes[order].astype(np.int64), counts[order].astype(np.int64)
+    items, tokens = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * s)))
+    half = np.searchsorted(s, capacity // 2, side="right")
+    bounds = np.concatenate(([0], s[:half]))
+    alone = np.searchsorted(s, capacity - bounds, side="right")
+    alone = np.maximum(alone, half)
+    first = np.searchsorted(s, bounds, side="left")
+    large, room = items[-1] - items[half], (items[alone] - items[half]) * capacity - (tokens[alone] - tokens[half])
+    more = -((room - (tokens[half] - tokens[first])) // capacity)
+    return int(large + np.maximum(more, 0).max(initial=0)) if len(s) else 0
+
+
 def unused_room(plan: DataFrame, specs: DataFrame) -> DataFrame:
-    """(spec_id, containers, tokens, unused_share) for each kind of a plan."""
+    """(spec_id, containers, least_containers, tokens, unused_share) for each kind of a plan; no packing needs fewer than least_containers."""
+    # Pieces by size: at most as many rows for a kind as its capacity has tokens.
+    sizes = plan.join(specs.select("spec_id", F.col("capacity_tokens").alias("capacity")), "spec_id").groupBy("spec_id", "capacity", "tokens").agg(F.count("*").alias("pieces"))
+
+    def bound(rows: pd.DataFrame) -> pd.DataFrame:
+        least = least_containers(rows["tokens"].to_numpy(), rows["pieces"].to_numpy(), int(rows["capacity"].iloc[0]))
+        return pd.DataFrame({"spec_id": [rows["spec_id"].iloc[0]], "least_containers": [least]})
+
+    least = sizes.groupBy("spec_id").applyInPandas(bound, "spec_id bigint, least_containers bigint")
     boxes = plan.groupBy("spec_id", "block", "container").agg(F.sum("tokens").alias("tokens"))
     kinds = boxes.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
     room = F.col("containers") * F.col("capacity_tokens")
-    return kinds.join(specs.select("spec_id", "capacity_tokens"), "spec_id").select("spec_id", "containers", "tokens", F.round(1 - F.col("tokens") / room, 6).alias("unused_share"))
+    joined = kinds.join(specs.select("spec_id", "capacity_tokens"), "spec_id").join(least, "spec_id")
+    return joined.select("spec_id", "containers", "least_containers", "tokens", F.round(1 - F.col("tokens") / room, 6).alias("unused_share"))

@@ -1,7 +1,9 @@
 import itertools
 import random
 
-from siltstone.llm.packing import cut_texts, fullest, pack, packing, unused_room
+import numpy as np
+
+from siltstone.llm.packing import cut_texts, fullest, least_containers, pack, packing, unused_room
 
 DOCS = "doc_id bigint, text string, spec_id bigint"
 
@@ -26,6 +28,45 @@ def test_pack_uses_each_item_once():
     assert len(boxes) <= 1.04 * sum(sizes) / 1000 + 1
 
 
+def fewest(sizes, capacity):
+    """Containers of an optimal packing, by trying all."""
+    best = len(sizes)
+
+    def place(i, boxes):
+        nonlocal best
+        if len(boxes) >= best:
+            return
+        if i == len(sizes):
+            best = len(boxes)
+            return
+        for k in range(len(boxes)):
+            if boxes[k] + sizes[i] <= capacity and boxes[k] not in boxes[:k]:
+                place(i + 1, [*boxes[:k], boxes[k] + sizes[i], *boxes[k + 1 :]])
+        place(i + 1, [*boxes, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_lower_bound_never_exceeds_the_optimum():
+    r = random.Random(4)
+    tight = 0
+    for _ in range(200):
+        capacity = r.randint(5, 40)
+        sizes = sorted((r.randint(1, capacity) for _ in range(r.randint(1, 8))), reverse=True)
+        distinct = sorted(set(sizes))
+        bound, best = least_containers(np.array(distinct), np.array([sizes.count(s) for s in distinct]), capacity), fewest(sizes, capacity)
+        assert -(-sum(sizes) // capacity) <= bound <= best
+        tight += bound == best
+    assert tight > 150
+
+
+def test_full_pieces_have_containers_of_their_own(spark):
+    df = spark.createDataFrame([(i, "a" * 350) for i in range(300)], "doc_id bigint, text string")
+    got = packing(df, spark.createDataFrame([(1, 100)], "spec_id bigint, capacity_tokens bigint")).filter("tokens = 100").select("block", "container").collect()
+    assert len(got) == len(set(got)) == 900
+
+
 def test_table(spark):
     rows = [(i, "字" * (i % 7 + 1) + "a" * i, 9) for i in range(40)] + [(100, None, 9), (101, " \u3000", 9), (102, "x" * 250, 9), (103, "y" * 100, 9), (104, "y" * 200, 9), (105, "", 9), (106, "y" * 100, 9)]
     df = spark.createDataFrame(rows, DOCS)
@@ -42,5 +83,5 @@ def test_table(spark):
         assert max(boxes.values()) <= capacity
     assert {tuple(r) for r in cut_texts(plan).collect()} == {(1, d) for d, n in sizes.items() if n > 100}
     room = {r["spec_id"]: r for r in unused_room(plan, specs).collect()}
-    assert room[2]["tokens"] == sum(sizes.values())
+    assert room[2]["tokens"] == sum(sizes.values()) and all(r["least_containers"] <= r["containers"] for r in room.values())
     assert packing(df.limit(0), specs).count() == 0 and packing(df, specs.limit(0)).count() == 0
