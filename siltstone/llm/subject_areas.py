@@ -19,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.textform import canonical
 
 #: Labelled documents used at most, the first by a hash of their id.
 SAMPLE = 2_000
+#: Bytes that their texts have together at most; the driver holds them.
+SAMPLE_BYTES = 64 << 20
 #: Documents a term needs, the share of its sentences in documents of its subject, and its gain in odds over the subject's rate.
 TERM_DOCS, TERM_SHARE, TERM_GAIN = 3, 0.55, 3.0
 #: Share of a document's sentences from which a subject counts.
@@ -193,9 +195,13 @@ def _features(counts: np.ndarray, n: np.ndarray, own: int, source_rate: np.ndarr
 
 
 class Chain:
-    """Classifiers in a chain over the subjects, most frequent first."""
+    """Classifiers in a chain over the subjects, most frequent first.
 
-    def __init__(self, counts: np.ndarray, n: np.ndarray, sources: list, labels: np.ndarray) -> None:
+    Calibrated by Platt scaling of all links together, on documents that the
+    scaled chain was not fitted on: each half's from a chain of the other half.
+    """
+
+    def __init__(self, counts: np.ndarray, n: np.ndarray, sources: list, labels: np.ndarray, calibrated: bool = True) -> None:
         self.order = list(np.argsort(-labels.sum(0), kind="stable"))
         k = labels.shape[1]
         rows = defaultdict(list)
@@ -211,19 +217,26 @@ class Chain:
             x = self._inputs(counts, n, sources, s, labels, self.order[:at])
             towards = np.concatenate((pooled, np.zeros(x.shape[1] - len(pooled))))
             self.weights.append(_logistic(x, labels[:, s], towards, 8.0))
-        self._calibrate(counts, n, sources, labels)
+        self.scale = np.array([0.0, 1.0])
+        if calibrated and len(n) > 40:
+            half = np.arange(len(n)) % 2 == 0
+            z, y = [], []
+            for own in (half, ~half):
+                pick = lambda side: (counts[side], n[side], [s for s, x in zip(sources, side, strict=True) if x], labels[side])
+                other = Chain(*pick(~own), calibrated=False)
+                z.append(other.links(*pick(own)))
+                y += [labels[own][:, s] for s in other.order]
+            self.scale = _logistic(np.column_stack((np.ones(len(labels) * k), np.concatenate(z))), np.concatenate(y), self.scale, 1.0)
+
+    def links(self, counts: np.ndarray, n: np.ndarray, sources: list, labels: np.ndarray) -> np.ndarray:
+        """The log odds of every link, one after another in the order of the chain, given the labels before it."""
+        return np.concatenate([self._inputs(counts, n, sources, s, labels, self.order[:at]) @ w for at, (s, w) in enumerate(zip(self.order, self.weights, strict=True))])
 
     def _inputs(self, counts, n, sources, s, given, before) -> np.ndarray:
         rate = np.array([self.source.get(x, np.zeros(len(self.base)))[s] for x in sources])
         x = _features(counts, n, s, rate)
         return np.column_stack((x, given[:, before])) if len(before) else x
 
-    def _calibrate(self, counts, n, sources, labels) -> None:
-        """Platt scaling of all links together, against overconfidence of the small classifiers."""
-        z = np.concatenate([self._inputs(counts, n, sources, s, labels, self.order[:at]) @ w for at, (s, w) in enumerate(zip(self.order, self.weights, strict=True))])
-        y = np.concatenate([labels[:, s] for s in self.order])
-        self.scale = _logistic(np.column_stack((np.ones(len(z)), z)), y, np.array([0.0, 1.0]), 1.0)
-
     def decode(self, counts: np.ndarray, n: np.ndarray, sources: list) -> list[list[int]]:
         """The likeliest combination of subjects for each document, by beam search along the chain."""
         docs, k = counts.shape
@@ -282,13 +295,16 @@ def _labeller(model: Model):
     return run
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled documents; repeated labels count once."""
-    names = sorted(r[0] for r in subjects.select("subject").distinct().limit(1000).collect())  # the fixed list
+def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most `sample` labelled documents of at most `sample_bytes` together; repeated labels count once."""
+    names = sorted(r[0] for r in subjects.select("subject").distinct().collect())  # the given list of subjects
     own = labels.filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("own"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.select("doc_id", "text", "source").filter(F.col("text").rlike("\\S"))
-    rows = own.join(texts, "doc_id").orderBy("doc_id").collect()  # at most `sample` rows
+    labelled = own.join(texts, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+    total = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over `sample` rows
+    rows = labelled.withColumn("total", total).filter(F.col("total") <= sample_bytes).drop("total").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return Model([r["text"] for r in rows], [r["source"] for r in rows], [set(r["own"]) for r in rows], names)
 
 
