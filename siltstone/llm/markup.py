@@ -3,7 +3,7 @@
 A lexer finds every place that may be a construct of HTML, Markdown, wiki text
 or LaTeX. Each place gets a cost for either reading, markup or content; places
 near one another in the same language, and still more the two ends of one
-element, are tied by smoothness edges. A minimum cut (by maximum flow) parts
+element and a tag and the tag around it, are tied by smoothness edges. A minimum cut (by maximum flow) parts
 the places that are markup from those that are content. The markup is then
 rewritten: headings, lists, tables, code and formulas stay recognisable in one
 plain notation, and everything else is dropped.
@@ -38,6 +38,8 @@ ELEMENTS = set(
     "h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main map mark meta nav noscript ol option p param picture pre q s samp script section select "
     "small source span strike strong style sub summary sup table tbody td textarea tfoot th thead time title tr tt u ul var video wbr".split()
 )
+# Elements without an end.
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # LaTeX commands that stand without braces.
 COMMANDS = set(
     "item alpha beta gamma delta epsilon theta lambda mu pi sigma tau phi omega Delta Gamma Theta Lambda Sigma Phi Omega times cdot div pm leq geq neq approx infty sum prod int "
@@ -52,18 +54,21 @@ class Place(NamedTuple):
     end: int
     weight: float  # log odds of markup against content
     mate: int  # index of the place at the element's other end, or -1
+    parent: int = -1  # index of the tag around this tag, or -1
 
 
+# A table or fence may begin a line, or stand behind the sign of an item or a tag.
+_BEGIN = r"(?:^[ \t]*|(?<=\\item)[ \t]+|(?<=>)[ \t]*|(?<=[-+*][ ])[ \t]*)"
 _LEX = re.compile(
     r"""(?P<comment><!--.*?(?:-->|\Z))
     |(?P<tag></?(?P<name>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>)
     |(?P<cuttag><(?:p|br|td|tr|th|li|ul|ol|div|span|table|h[1-6]|a|img|sup|sub|b|i)(?:\s[^<>]*)?\Z)
     |(?P<entity>&(?:[A-Za-z][A-Za-z0-9]{1,7}|\#\d{1,6}|\#[xX][0-9a-fA-F]{1,6});)
-    |(?P<fence>^[ \t]*(?:```|~~~)[^`\n]*$)
+    |(?P<fence>BEGIN(?:```|~~~)[^`\n<]*(?:$|(?=<)))
     |(?P<wikilink>\[\[[^\[\]\n]*(?:\]\]|\Z))
     |(?P<template>(?<!\\)\{\{[^{}\n]*(?:\}\}|\Z))
     |(?P<wikihead>^(?P<eq>={2,6})[ \t]*(?P<wikititle>[^=\n]+?)[ \t]*(?P=eq)[ \t]*$)
-    |(?P<wikiopen>^[ \t]*\{\|[^\n]*$)|(?P<wikiclose>^[ \t]*\|\}[ \t]*$)|(?P<wikirow>^[ \t]*\|-[^|\n]*$)
+    |(?P<wikiopen>BEGIN\{\|[^\n]*$)|(?P<wikiclose>BEGIN\|\}[ \t]*(?:$|(?=<)))|(?P<wikirow>^[ \t]*\|-[^|\n]*$)
     |(?P<quotes>'{2,5})
     |(?P<image>!\[[^\[\]\n]*\]\([^()\n]*\))
     |(?P<mdlink>\[[^\[\]\n]*\]\([^()\s]+(?:[ \t]"[^"\n]*")?\))
@@ -71,7 +76,7 @@ _LEX = re.compile(
     |(?P<command>\\(?P<cmd>[A-Za-z]+)\*?(?P<brace>(?:\[[^\]\n]*\])?\{)?)
     |(?P<escape>\\[%$&\#_{}])
     |(?P<mathopen>\\[(\[]|\\[)\]])
-    |(?P<math>\$\$[^$]{1,400}\$\$|(?<![\\A-Za-z0-9])\$[^$\n]{1,200}\$(?!\d)|(?<=[a-z0-9])\$\\[^$\n]{1,200}\$)
+    |(?P<math>\$\$[^$]+\$\$|(?<![\\A-Za-z0-9])\$[^$\n]+\$(?!\d)|(?<=[a-z0-9])\$\\[^$\n]+\$)
     |(?P<separator>^[ \t]*\|?(?:[ \t]*:?-{2,}:?[ \t]*\|)+(?:[ \t]*:?-*:?[ \t]*)$)
     |(?P<row>^[ \t]*\|(?=(?:[^|\n]*\|){2,}[ \t]*$))
     |(?P<wikicell>^[ \t]*[|!](?=[ \t])|\|\||!!)
@@ -82,7 +87,8 @@ _LEX = re.compile(
     |(?P<bullet>^[ \t]*[-+*][ \t]+(?=\S))
     |(?P<number>^[ \t]*(?P<n>\d{1,2})[.)][ \t]+(?=\S))
     |(?P<blockquote>^[ \t]*>[ \t]+(?=\S))
-    |(?P<rule>^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$)""",
+    |(?P<setext>^[ \t]*={3,}[ \t]*$)
+    |(?P<rule>^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$)""".replace("BEGIN", _BEGIN),
     re.M | re.S | re.X,
 )
 _LANG = {
@@ -94,7 +100,7 @@ _LANG = {
 WEIGHTS = {
     "comment": 4, "tag": 4, "cuttag": 1, "entity": 4, "wikilink": 3, "template": 3, "wikihead": 3, "wikiopen": 3, "wikiclose": 2, "wikirow": 0.5, "wikicell": 1, "quotes": -1, "env": 4, "command": 2,
     "escape": 1.5, "mathopen": 1, "math": -1, "fence": 2, "image": 4, "mdlink": 3, "separator": 3, "row": 2.5, "code": 1.5, "heading": 1.5, "bold": -1, "strike": -0.5, "bullet": 0.8,
-    "number": -0.6, "blockquote": 1, "rule": 0.2,
+    "number": -0.6, "blockquote": 1, "setext": 1, "rule": 0.2,
 }
 _ONE_LINE = {"tag", "cuttag"}
 _PAGE = re.compile(r"[ \t]*[-*+][ \t]+\d{1,4}[ \t]*[-*+]?[ \t]*$", re.M)
@@ -104,7 +110,7 @@ _FORMULA = re.compile(r"[\\^_{}]|[=+<>].*[A-Za-z]|[A-Za-z].*[=+<>]")
 def places(text: str) -> list[Place]:
     """Every place that may be markup, in order, with the odds that its own form and its element give."""
     out: list[Place] = []
-    open_tags: dict[str, list[int]] = {}
+    around: list[tuple[str, int]] = []  # open tags, the innermost last
     pending: dict[str, int] = {}
     fence = -1
     wiki_table = False
@@ -134,6 +140,8 @@ def places(text: str) -> list[Place]:
             lang, kind = "wiki", "wikirow"
         elif kind == "command" and not m.group("brace") and m.group("cmd") not in COMMANDS:
             weight = 0.5 if not re.search(r"[A-Za-z]:?$|[\w.]\\[\w.]*$", text[max(0, m.start() - 12) : m.start()]) else -2.0
+        elif kind == "setext" and not text[: m.start()].rstrip(" \t").endswith("\n\n") and text[: m.start()].strip():
+            weight = 2.0  # right under the line that it makes a heading
         elif kind == "math" and _FORMULA.search(m.group()):
             weight = 2.0
         elif kind == "bullet":
@@ -158,11 +166,15 @@ def places(text: str) -> list[Place]:
                 fence = i
         elif kind == "tag":
             name = m.group("name").lower()
+            if around:
+                out[i] = out[i]._replace(parent=around[-1][1])
             if m.group().startswith("</"):
-                if open_tags.get(name):
-                    pair(open_tags[name].pop(), i, 1.0)
-            else:
-                open_tags.setdefault(name, []).append(i)
+                at = next((k for k in range(len(around) - 1, -1, -1) if around[k][0] == name), -1)
+                if at >= 0:
+                    pair(around[at][1], i, 1.0)
+                    del around[at:]
+            elif name not in VOID and not m.group().endswith("/>"):
+                around.append((name, i))
         elif kind in ("bold", "strike", "quotes"):
             mark = m.group()
             if mark in pending and "\n\n" not in text[out[pending[mark]].end : m.start()] and m.start() > out[pending[mark]].end:
@@ -174,6 +186,8 @@ def places(text: str) -> list[Place]:
 
 #: Smoothness: capacity between neighbours of one language, its reach in characters, and between the ends of an element.
 TIE, REACH, MATE = 0.6, 200.0, 4.0
+#: Smoothness between a tag and the tag around it.
+NESTED = 1.0
 
 
 def minimum_cut(found: list[Place]) -> list[bool]:
@@ -207,6 +221,8 @@ def minimum_cut(found: list[Place]) -> list[bool]:
         last[p.lang] = i
         if 0 <= p.mate < i:
             edge(p.mate, i, MATE, MATE)
+        if 0 <= p.parent < i and p.parent != p.mate:
+            edge(p.parent, i, NESTED, NESTED)
     while True:  # shortest augmenting paths; places are few
         via = {source: -1}
         queue = deque([source])
@@ -303,6 +319,8 @@ def clean(text: str | None) -> str | None:
         if p.start < at:
             continue
         out.append(_close_braces(text[at : p.start], open_braces))
+        if p.kind == "setext":
+            out = [_headed("".join(out))]
         out.append(_plain(text, p))
         if p.kind == "command" and text[p.end - 1] == "{":
             open_braces.append(True)
@@ -313,6 +331,13 @@ def clean(text: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", joined)).strip("\n")
 
 
+def _headed(text: str) -> str:
+    """text with its last line marked as a heading."""
+    body = text.rstrip("\n \t" + SOFT)
+    at = max(body.rfind("\n"), body.rfind(SOFT)) + 1
+    return body[:at] + "# " + body[at:] + "\n" if body[at:] else text
+
+
 def _close_braces(piece: str, opened: list[bool]) -> str:
     """piece without the closing braces of commands that were taken out."""
     while opened and "}" in piece:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm.markup import MATE, TIE, Place, clean, languages, markup_languages, minimum_cut, places, without_markup
+from siltstone.llm.markup import MATE, NESTED, TIE, Place, clean, languages, markup_languages, minimum_cut, places, without_markup
 from siltstone.llm.textform import canonical
 
 
@@ -16,12 +16,24 @@ from siltstone.llm.textform import canonical
         ("[[分类:甲]]", ["wiki"]), ("== 标题 ==", ["wiki"]), ("'''粗'''", ["wiki"]), ("{{注释|甲}}", ["wiki"]), ("{| class=\"x\"\n|-\n| 1 || 2\n|}", ["wiki"]),
         ("\\textbf{甲}", ["latex"]), ("$\\Delta r=0.5$", ["latex"]), ("占比5\\%", ["latex"]), ("\\begin{itemize}\n\\item 甲\n\\end{itemize}", ["latex"]), ("| a<br>b | c |", ["html", "markdown"]),
         ("毛利率<20%且费用>30%", []), ("以US$结算，约$5与$6", []), ("R&D与M&A", []), ("公司[注]与{币种}", []), ("annual_report_v2_final", []), ("1#生产线与2#生产线", []), ("*为未经审计数据", []), ("- 5 -", []), ("see note\n37. Management noted", []), ("x = 1 * 2 * 3", []), ("", []),
+        ("募集资金情况\n============\n\n正文", ["markdown"]), ("- {| class=\"x\"\n- ! 甲 !! 乙\n- |-\n- | 1 || 2\n- |}", ["markdown", "wiki"]), ("<p>```</p>\n<p>x = 1</p>\n<p>```</p>", ["html", "markdown"]),
     ],
 )
 def test_languages(text, langs):
     assert languages(text) == langs
 
 
+@pytest.mark.parametrize("size", [100, 230, 427, 3000, 30_000])
+def test_formulas_of_any_length(size):
+    body = "+".join(f"a_{{{i}}}x^{i}" for i in range(size))[:size]
+    for text in (f"由${body}$得", f"由\n$${body}\n=y$$\n得"):
+        assert languages(text) == ["latex"] and body in clean(text)
+
+
+def test_clean_marks_underlined_headings():
+    assert clean("前文。\n募集资金情况\n============\n\n正文") == "前文。\n# 募集资金情况\n\n正文"
+
+
 def test_clean_keeps_structure():
     out = clean("<h2>标题</h2><p>正文&nbsp;甲</p><ul><li>一</li><li>二</li></ul><table><tr><td>a</td><td>1</td></tr></table>")
     assert out == "## 标题\n正文 甲\n- 一\n- 二\n| a | 1 |"
@@ -41,6 +53,7 @@ def test_cut_is_minimal():
             found.append(Place(r.choice(["html", "wiki"]), "tag", at, at + 2, r.choice([-2.0, -0.5, 0.7, 3.0]), -1))
         if n > 3:
             found[0], found[3] = found[0]._replace(mate=3), found[3]._replace(mate=0)
+            found[2] = found[2]._replace(parent=r.choice([0, 1]))
 
         def cost(side):
             import math
@@ -54,6 +67,8 @@ def test_cut_is_minimal():
                 last[p.lang] = i
                 if 0 <= p.mate < i and side[i] != side[p.mate]:
                     total += MATE
+                if 0 <= p.parent < i and p.parent != p.mate and side[i] != side[p.parent]:
+                    total += NESTED
             return total
 
         best = min(cost(s) for s in itertools.product([True, False], repeat=n))
