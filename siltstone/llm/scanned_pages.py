@@ -1,20 +1,22 @@
 """Noise in text from scanned pages: cut words, misread characters, running heads, page numbers.
 
 The blocks of a page form a sequence that a hidden Markov model labels from
-layout and text features: running head, page number, table cell or speck, start
-of a paragraph ("break"), or its continuation ("body"). Paragraphs are put
-together from the labels; words cut at line ends are joined where the words of
-the table speak for it, and misread characters are put right where the same
-context nearly always shows another, similar character.
+layout and text features and the recognition's confidence: running head, page
+number, table cell or speck, start of a paragraph ("break"), or its continuation
+("body"). Its chances are estimated on all pages of the table, by Viterbi
+training from given priors. Paragraphs are put together from the labels; words
+cut at line ends are joined where the words of the table speak for it, and
+misread characters are put right where the same context nearly always shows
+another, similar character.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +30,12 @@ PAGE_HEIGHT = 840.0
 MARGIN = 0.07
 #: Pages of a document on which a running head returns at least.
 HEAD_PAGES = 3
+#: Blocks that are labelled as one sequence; a longer page is labelled in parts, none left out.
+SEQUENCE = 2_000
+#: Rounds of estimation, and the pages' worth of blocks that the priors count as.
+ROUNDS, PRIOR_BLOCKS = 2, 200.0
+#: Confidence of recognition from which a block counts as clear.
+CLEAR = 0.9
 #: Confidence of recognition from which a word is kept though it looks like a far more frequent one.
 SURE = 0.99
 
@@ -55,6 +63,8 @@ _BLANK_LINE_END = re.compile(r"[ \t ]*\n")
 _COUNT = re.compile(
     r"[\s\-—–·•.|/()（）\[\]<>]*(?:第|page|p\.?|pg\.?)?\s*(?:\d{1,4}|[ivxlc]{1,8})\s*(?:页)?\s*(?:(?:/|of|共|，|,)\s*共?\s*\d{1,4}\s*页?)?[\s\-—–·•.|/()（）\[\]<>]*", re.I
 )
+_RUN_OF_SIGNS = re.compile(r"([\s\-—–·•.|/()（）\[\]<>])\1+")
+_COUNT_LETTERS = 24
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _AS_DIGIT = str.maketrans("OolI|!SBZ@", "0011115820")
 _FINAL = re.compile("[。！？!?.…：:；;][”’\"')）】»]*\\s*$")
@@ -79,8 +89,9 @@ def skeleton(text: str) -> str:
 
 def counts_page(text: str) -> bool:
     """Only a page number, in arabic or roman figures, misread figures allowed."""
-    t = canonical(text).strip()
-    if not t or len(t) > 24:
+    t = _RUN_OF_SIGNS.sub(r"\1", canonical(text)).strip()
+    # A count has a few words and two numbers at most, so more letters and digits never match below.
+    if not t or sum(map(str.isalnum, t)) > _COUNT_LETTERS:
         return False
     bare = t.strip("-—–·•.|/()（）[]<> ")
     if _ROMAN.fullmatch(bare):
@@ -156,37 +167,51 @@ def misread_contexts(stats: DataFrame, ratio: float = 12.0, least: int = 8) -> D
     return bad.unionByName(rare)
 
 
-def _readings(word: str) -> set[str]:
-    places = [(m.start(), k) for k in LATIN_READINGS for m in re.finditer(re.escape(k), word)]
-    odd = [p for p in places if not p[1].isalpha()]
-    out: set[str] = set()
-    choices = [(p,) for p in places] + ([tuple(odd)] if len(odd) > 1 else []) + [tuple(x) for n in (2, 3) for x in itertools.combinations(places[:8], n)]
-    for chosen in choices:
-        for to in itertools.product(*(LATIN_READINGS[k] for _, k in chosen)):
-            new, shift, last = word, 0, -1
-            for (at, k), y in sorted(zip(chosen, to, strict=True)):
-                if at < last:
-                    break
-                new = new[: at + shift] + y + new[at + shift + len(k) :]
-                shift += len(y) - len(k)
-                last = at + len(k)
-            else:
-                out.add(new)
-    return out - {word}
-
-
-def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# Each sign of a word in the form in which all its readings agree.
+_ONE = str.maketrans({"0": "o", "1": "l", "!": "l", "|": "l", "I": "l", "i": "l", "@": "a", "$": "s", "5": "s", "8": "B"} | {"m": "rn", "d": "cl", "w": "vv"})
+_RULES = [(k, y) for k, ys in LATIN_READINGS.items() for y in ys]
+
+
+def _folded(word: str) -> str:
+    """The same for a word and for all words it may be a wrong reading of: every rule maps both its sides to one form."""
+    return word.translate(_ONE)
+
+
+def reads_as(word: str, other: str) -> bool:
+    """Whether `other` comes from `word` by reading some of its pieces, any number at any places, as LATIN_READINGS says."""
+    ends = {(0, 0)}
+    seen = set(ends)
+    while ends:
+        i, j = ends.pop()
+        if i == len(word) and j == len(other):
+            return True
+        steps = [(i + 1, j + 1)] if i < len(word) and j < len(other) and word[i] == other[j] else []
+        steps += [(i + len(k), j + len(y)) for k, y in _RULES if word.startswith(k, i) and other.startswith(y, j)]
+        ends.update(x for x in steps if x not in seen)
+        seen.update(steps)
+    return False
+
+
+def _fold_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(form=batch["k"].map(_folded))
+
+
+def _read_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(w, n, v) for w, n in zip(batch["k"], batch["n"], strict=True) for v in _readings(w)]
-        yield pd.DataFrame(rows, columns=["w", "n", "v"])
+        yield batch.loc[[reads_as(w, v) for w, v in zip(batch["w"], batch["v"], strict=True)], ["w", "v", "nv"]]
 
 
 def misread_words(stats: DataFrame, ratio: float = 8.0) -> DataFrame:
-    """(w, v): words w of the table that are a wrong reading of the far more frequent word v."""
-    words = stats.filter("kind = 'w'").select("k", "n")
-    tried = words.filter(F.length("k") <= 24).mapInPandas(_variants, "w string, n bigint, v string")
-    known = words.select(F.col("k").alias("v"), F.col("n").alias("nv"))
-    return tried.join(known, "v").filter(F.col("nv") >= ratio * F.col("n") + 2).groupBy("w").agg(F.max_by("v", "nv").alias("v"))
+    """(w, v): words w of the table that are a wrong reading of the far more frequent word v.
+
+    Words meet by their folded form, whatever their length and the number of wrong pieces.
+    """
+    words = cut(stats.filter("kind = 'w'").select("k", "n").mapInPandas(_fold_words, "k string, n bigint, form string"), "words")
+    known = words.filter(F.col("n") >= ratio + 2).select("form", F.col("k").alias("v"), F.col("n").alias("nv"))
+    tried = words.select("form", F.col("k").alias("w"), "n").join(known, "form").filter((F.col("w") != F.col("v")) & (F.col("nv") >= ratio * F.col("n") + 2))
+    read = tried.select("w", "v", "nv").mapInPandas(_read_words, "w string, v string, nv bigint")
+    return read.groupBy("w").agg(F.max_by("v", F.struct("nv", "v")).alias("v"))
 
 
 # --- defects of single blocks --------------------------------------------------------
@@ -234,48 +259,157 @@ def misread(blocks: DataFrame, stats: DataFrame) -> DataFrame:
 # --- layout ---------------------------------------------------------------------------
 
 STATES = ("head", "number", "cell", "break", "body")
-# Log weights of a state for each feature that holds; body text has no head or number features.
-_EMIT = {
-    "head": {"margin": 2.0, "inner": -9.0, "returns": 4.0, "alone": -3.0, "count": -4.0, "narrow": 0.0},
-    "number": {"margin": 2.0, "inner": -9.0, "returns": 0.0, "alone": 0.0, "count": 6.0, "not_count": -9.0, "narrow": 1.0},
-    "cell": {"margin": -1.5, "inner": 0.0, "narrow": 3.0, "wide": -6.0},
-    "break": {"margin": -2.0, "inner": 1.0, "after_final": 2.0, "after_open": -2.0, "indented": 2.0, "narrow": -2.0},
-    "body": {"margin": -2.0, "inner": 1.0, "after_final": -2.0, "after_open": 2.0, "indented": -2.0, "narrow": -2.0},
+#: The features of a block, one value of each.
+GROUPS = {
+    "place": ("margin", "inner"), "again": ("returns", "alone"), "count": ("count", "not_count"), "width": ("narrow", "wide"),
+    "after": ("after_final", "after_open", "first"), "start": ("indented", "flush"), "sure": ("clear", "blurred", "unknown"),
+}
+# Chances of the features in each state before any page is seen, in the order of GROUPS; of text, first for the start of a paragraph.
+_PLAIN = {"again": (0.002, 0.998), "count": (0.002, 0.998), "sure": (0.5, 0.4, 0.1)}
+PRIORS = {
+    "head": {"place": (0.999, 0.001), "again": (0.98, 0.02), "count": (0.005, 0.995), "width": (0.4, 0.6), "after": (0.34, 0.33, 0.33), "start": (0.2, 0.8), "sure": (0.5, 0.4, 0.1)},
+    "number": {"place": (0.999, 0.001), "again": (0.5, 0.5), "count": (0.998, 0.002), "width": (0.8, 0.2), "after": (0.34, 0.33, 0.33), "start": (0.2, 0.8), "sure": (0.5, 0.4, 0.1)},
+    "cell": {"place": (0.03, 0.97), "width": (0.97, 0.03), "after": (0.34, 0.33, 0.33), "start": (0.2, 0.8), **_PLAIN},
+    "break": {"place": (0.02, 0.98), "width": (0.1, 0.9), "after": (0.7, 0.1, 0.2), "start": (0.4, 0.6), **_PLAIN},
+    "body": {"place": (0.02, 0.98), "width": (0.1, 0.9), "after": (0.1, 0.8, 0.1), "start": (0.05, 0.95), **_PLAIN},
 }
-_MOVE = {(a, b): math.log(0.2) for a in STATES for b in STATES} | {("head", "body"): math.log(0.1), ("head", "break"): math.log(0.4), ("body", "body"): math.log(0.35), ("break", "body"): math.log(0.35)}
+_NEXT = {(a, b): 0.2 for a in STATES for b in STATES} | {("head", "body"): 0.1, ("head", "break"): 0.4, ("body", "body"): 0.35, ("break", "body"): 0.35}
 
 
-def _features(block: dict, before: str | None) -> set[str]:
-    out = {"margin" if block["margin"] else "inner", "returns" if block["returns"] else "alone", "count" if block["count"] else "not_count"}
-    out.add("narrow" if block["x1"] - block["x0"] < 120 and len(block["text"]) < 24 else "wide")
-    if before is not None:
-        out.add("after_final" if _FINAL.search(before) else "after_open")
-    if block["text"][:1] in "　  \t" or block["type"] == "title":
-        out.add("indented")
-    return out
+class LayoutModel(NamedTuple):
+    """Log chances: of the first state, of a state after another, and of a block's code of features in a state."""
+
+    first: list[float]
+    moves: list[list[float]]
+    emits: list[list[float]]
+
+
+_SIZES = [len(v) for v in GROUPS.values()]
+_CODES = math.prod(_SIZES)
+
+
+def _values(code: int) -> list[int]:
+    out = []
+    for size in reversed(_SIZES):
+        code, value = divmod(code, size)
+        out.append(value)
+    return out[::-1]
 
 
-def label(page: list[dict]) -> list[str]:
-    """Most likely states of a page's blocks in reading order (Viterbi)."""
-    score, back = {}, []
-    before = None
-    for i, block in enumerate(page):
-        has = _features(block, before)
-        emit = {s: sum(w for f, w in _EMIT[s].items() if f in has) for s in STATES}
-        if i == 0:
-            score = emit
-        else:
-            step = {s: max(STATES, key=lambda p: score[p] + _MOVE[p, s]) for s in STATES}
-            score = {s: score[step[s]] + _MOVE[step[s], s] + emit[s] for s in STATES}
-            back.append(step)
+def layout_model(counts: dict[tuple[str, str, str], float] | None = None) -> LayoutModel:
+    """The model of the priors, or of counts added to them.
+
+    counts: (what, a, b) with what = "first" (state), "move" (state, state), or a group of GROUPS (state, value).
+    """
+    counts = counts or {}
+
+    def log_chances(what: str, a: str, names: tuple[str, ...], prior: tuple[float, ...]) -> list[float]:
+        scale = PRIOR_BLOCKS / sum(prior)
+        own = [p * scale + counts.get((what, a, b), 0.0) for b, p in zip(names, prior, strict=True)]
+        return [math.log(x / sum(own)) for x in own]
+
+    first = log_chances("first", "", STATES, (0.2,) * len(STATES))
+    moves = [log_chances("move", a, STATES, tuple(_NEXT[a, b] for b in STATES)) for a in STATES]
+    by_group = [[log_chances(g, s, names, PRIORS[s][g]) for g, names in GROUPS.items()] for s in STATES]
+    emits = [[sum(by_group[s][g][v] for g, v in enumerate(_values(code))) for s in range(len(STATES))] for code in range(_CODES)]
+    return LayoutModel(first, moves, emits)
+
+
+PRIOR_MODEL = layout_model()
+
+
+def _code(block: dict, before: str | None) -> int:
+    """The features of a block as one number."""
+    sure = block.get("confidence")
+    has = (
+        not block["margin"],
+        not block["returns"],
+        not block["count"],
+        not (block["x1"] - block["x0"] < 120 and len(block["text"]) < 24),
+        2 if before is None else 0 if _FINAL.search(before) else 1,
+        not (block["text"][:1] in "　  \t" or block["type"] == "title"),
+        2 if sure is None or sure != sure else 0 if sure >= CLEAR else 1,
+    )
+    code = 0
+    for size, value in zip(_SIZES, has, strict=True):
+        code = code * size + int(value)
+    return code
+
+
+def page_codes(page: list[dict]) -> list[int]:
+    out, before = [], None
+    for block in page:
+        out.append(_code(block, before))
         if not block["margin"]:
             before = block["text"]
-    states = [max(STATES, key=score.get)] if page else []
+    return out
+
+
+def most_likely(codes: list[int], model: LayoutModel) -> list[int]:
+    """Most likely states of a sequence (Viterbi)."""
+    if not codes:
+        return []
+    every = range(len(STATES))
+    score = [a + b for a, b in zip(model.first, model.emits[codes[0]], strict=True)]
+    back = []
+    for code in codes[1:]:
+        step = [max(every, key=lambda p, s=s: score[p] + model.moves[p][s]) for s in every]
+        score = [score[step[s]] + model.moves[step[s]][s] + model.emits[code][s] for s in every]
+        back.append(step)
+    states = [max(every, key=score.__getitem__)]
     for step in reversed(back):
         states.append(step[states[-1]])
     return states[::-1]
 
 
+def label(page: list[dict], model: LayoutModel = PRIOR_MODEL) -> list[str]:
+    """Most likely states of a page's blocks in reading order."""
+    return [STATES[s] for s in most_likely(page_codes(page), model)]
+
+
+def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Codes of the pages of a batch, equal pages counted once."""
+    seen: Counter = Counter()
+    for page in _pages(batches):
+        for block in page:
+            block["count"] = block["margin"] and counts_page(block["text"])
+        seen[tuple(page_codes(page))] += 1
+        if len(seen) >= 20_000:
+            yield pd.DataFrame({"codes": [list(c) for c in seen], "n": list(seen.values())})
+            seen = Counter()
+    yield pd.DataFrame({"codes": [list(c) for c in seen], "n": list(seen.values())})
+
+
+def _states_counted(model: LayoutModel):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for codes, n in zip(batch["codes"], batch["n"], strict=True):
+                states = most_likely(list(codes), model)
+                seen["first", "", STATES[states[0]]] += n
+                for a, b in zip(states, states[1:], strict=False):
+                    seen["move", STATES[a], STATES[b]] += n
+                for s, code in zip(states, codes, strict=True):
+                    for (g, names), v in zip(GROUPS.items(), _values(code), strict=True):
+                        seen[g, STATES[s], names[v]] += n
+        yield pd.DataFrame([(*k, float(n)) for k, n in seen.items()], columns=["what", "a", "b", "n"])
+
+    return run
+
+
+def fitted_model(ordered: DataFrame, rounds: int = ROUNDS) -> LayoutModel:
+    """The model estimated on all pages, by rounds of Viterbi training over their distinct sequences of features.
+
+    The driver gets a row for each state and feature, whatever the table.
+    """
+    pages = cut(ordered.mapInPandas(_sequences, "codes array<int>, n bigint").filter(F.size("codes") > 0).groupBy("codes").agg(F.sum("n").alias("n")), "sequences")
+    model = PRIOR_MODEL
+    for _ in range(rounds):
+        counted = pages.mapInPandas(_states_counted(model), "what string, a string, b string, n double").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+        model = layout_model({(r["what"], r["a"], r["b"]): r["n"] for r in counted.collect()})
+    return model
+
+
 def _layout_rows(df: DataFrame, key: str, height: float) -> DataFrame:
     cols = {"block": key, "doc": "doc_id", "page": "page", "x0": "x0", "y0": "y0", "x1": "x1", "y1": "y1", "text": "text", "type": "block_type", "confidence": "confidence"}
     rows = df.select(*[df[c].alias(a) for a, c in cols.items()])
@@ -288,11 +422,39 @@ def _skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["block", "doc", "page"]].assign(bone=batch["text"].map(skeleton), number=batch["text"].map(counts_page))
 
 
+def _most(length: int) -> int:
+    """Characters in which a margin text may differ from a head of a length."""
+    return max(1, length // 5) if length >= 3 else 0
+
+
+def _head_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One piece more than a head may have errors: at least one piece stands unchanged in every text that is near."""
+    for batch in batches:
+        rows = []
+        for doc, head in zip(batch["doc"], batch["head"], strict=True):
+            parts = _most(len(head)) + 1
+            ends = [len(head) * i // parts for i in range(parts + 1)]
+            rows += [(doc, head, head[a:b], a) for a, b in zip(ends, ends[1:], strict=False)] if parts > 1 else []
+        yield pd.DataFrame(rows, columns=["doc", "head", "piece", "at"])
+
+
+def _text_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pieces of a margin text of the sizes that pieces of heads near it can have."""
+    for batch in batches:
+        rows = []
+        for doc, bone in zip(batch["doc"], batch["bone"], strict=True):
+            n = len(bone)
+            near = [k for k in range(max(3, n - n // 4 - 2), n + n // 4 + 3) if abs(k - n) <= _most(k)]
+            sizes = {x for k in near for x in (k // (_most(k) + 1), -(-k // (_most(k) + 1)))}
+            rows += [(doc, bone, bone[i : i + size], i) for size in sizes for i in range(n - size + 1)]
+        yield pd.DataFrame(rows, columns=["doc", "bone", "piece", "place"])
+
+
 def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Margin texts within a few characters of a head of their document."""
     for batch in batches:
-        near = [_edits(a, b, max(1, len(b) // 5)) for a, b in zip(batch["bone"], batch["head"], strict=True)]
-        yield batch.loc[near, ["block"]]
+        near = [_edits(a, b, _most(len(b))) for a, b in zip(batch["bone"], batch["head"], strict=True)]
+        yield batch.loc[near, ["doc", "bone"]]
 
 
 def _edits(a: str, b: str, most: int) -> bool:
@@ -316,16 +478,20 @@ def running_heads(rows: DataFrame) -> DataFrame:
     heads = bones.select("doc", "bone", "page").distinct().groupBy("doc", "bone").agg(F.count("*").alias("pages")).filter(F.col("pages") >= HEAD_PAGES)
     same = bones.join(heads.select("doc", "bone"), ["doc", "bone"], "left_semi").select("block")
     rest = bones.join(heads.select("doc", "bone"), ["doc", "bone"], "left_anti")
-    near = rest.join(heads.select("doc", F.col("bone").alias("head")), "doc").select("block", "bone", "head").mapInPandas(_close, "block bigint")
-    return same.unionByName(near).distinct()
+    # Texts and heads of a document meet by pieces, not each with each.
+    pieces = heads.select("doc", F.col("bone").alias("head")).mapInPandas(_head_pieces, "doc string, head string, piece string, at int")
+    texts = rest.select("doc", "bone").distinct().mapInPandas(_text_pieces, "doc string, bone string, piece string, place int")
+    met = texts.join(pieces, ["doc", "piece"]).filter(F.abs(F.col("place") - F.col("at")) <= F.greatest(F.lit(1), F.floor(F.length("head") / 5)))
+    near = met.select("doc", "bone", "head").distinct().mapInPandas(_close, "doc string, bone string").distinct()
+    return same.unionByName(rest.join(near, ["doc", "bone"], "left_semi").select("block")).distinct()
 
 
 def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[list[dict]]:
-    """The pages of a partition that is sorted by doc, page, y0."""
+    """The pages of a partition that is sorted by doc, page, lone, y0; a block without document or page stands by itself."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_dict("records"):
-            if held and (row["doc"], row["page"]) != (held[0]["doc"], held[0]["page"]):
+            if held and (row["lone"] != 0 or (row["doc"], row["page"]) != (held[0]["doc"], held[0]["page"]) or len(held) >= SEQUENCE):
                 yield held
                 held = []
             held.append(row)
@@ -333,12 +499,12 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[list[dict]]:
         yield held
 
 
-def _label_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _label_pages(batches: Iterator[pd.DataFrame], model: LayoutModel) -> Iterator[pd.DataFrame]:
     out: list[tuple] = []
     for page in _pages(batches):
         for block in page:
             block["count"] = block["margin"] and counts_page(block["text"])
-        states = label(page)
+        states = label(page, model)
         text = [b for b, s in zip(page, states, strict=True) if s in ("break", "body")]
         follow = {}
         for b, n in zip(text, text[1:] + [None], strict=True):
@@ -362,8 +528,14 @@ _LABELLED = ["block", "doc", "page", "state", "text", "y0", "next", "leads"]
 def labelled(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """rows with their states, in reading order by page; the text that follows each body block on its page."""
     marked = rows.join(heads.withColumn("returns", F.lit(True)), "block", "left").withColumn("returns", F.coalesce("returns", F.lit(False)))
-    by_page = marked.repartition("doc", "page").sortWithinPartitions("doc", "page", "y0", "x0", "block")
-    return by_page.mapInPandas(_label_pages, "block bigint, doc string, page int, state string, text string, y0 double, next string, leads boolean")
+    by_page = _in_pages(cut(marked, "blocks"))
+    model = fitted_model(by_page)
+    return by_page.mapInPandas(lambda batches: _label_pages(batches, model), "block bigint, doc string, page int, state string, text string, y0 double, next string, leads boolean")
+
+
+def _in_pages(rows: DataFrame) -> DataFrame:
+    lone = F.when(F.col("doc").isNull() | F.col("page").isNull(), F.col("block")).otherwise(0)
+    return rows.withColumn("lone", lone).repartition("doc", "page", "lone").sortWithinPartitions("doc", "page", "lone", "y0", "x0", "block")
 
 
 def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -525,5 +697,4 @@ def paragraphs(df: DataFrame, key: str = "block_id", height: float = PAGE_HEIGHT
     full = pages.select("block", "doc", "page", "state", "text", "y0").join(rows.select("block", "x0", "confidence"), "block")
     for extra in (by_block, fixes, over.select("block", "over"), taken):
         full = full.join(extra, "block", "left")
-    ordered = full.repartition("doc", "page").sortWithinPartitions("doc", "page", "y0", "x0", "block")
-    return ordered.mapInPandas(_assemble, "doc_id string, page int, paragraph int, text string")
+    return _in_pages(full).mapInPandas(_assemble, "doc_id string, page int, paragraph int, text string")
