@@ -231,10 +231,16 @@ _FINAL = re.compile("[。！？!?.][”’\"')）】»]*$")
 _HANGING = re.compile("[,，、;；:：(（\\[【{<《“‘«\\-–—/&+=]$|[^.…。！？!?](?:…|\\.\\.\\.|……)$")
 
 
+_CUT_FIGURE = re.compile(r"\d\.$")
+
+
 def end_state(answer: str) -> str:
-    """`open` if the end shows a break, `final` if a final mark closes it, else `bare`."""
+    """`open` if the end shows a break, `final` if a final mark closes it, else `bare`.
+
+    A point after a digit closes no Chinese sentence: the figure goes on.
+    """
     text = canonical(answer).rstrip()
-    if left_open(text) or _HANGING.search(text):
+    if left_open(text) or _HANGING.search(text) or _CUT_FIGURE.search(text) and language(text) == "zh":
         return "open"
     return "final" if _FINAL.search(text) else "bare"
 

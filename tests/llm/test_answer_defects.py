@@ -15,7 +15,7 @@ Q = "岑岳集团2020年营业收入是多少？"
         (Q, "否。管理层认为受汇率影响，岑岳集团无法准确预计2020年的营业收入，因此未给出区间。", None), (Q, "未作预测，岑岳集团称难以给出可靠估计。", None),
         (Q, "The company reported 12.5 million for the year.", "other_language"), ("What was the revenue of A in 2020?", "公司当年该指标为39.32百万元。", "other_language"),
         ("What was the revenue of A in 2020?", "Der Betrag lag im Geschäftsjahr bei 5 Millionen und stieg um 7 Prozent.", "other_language"), (Q, "同社の当期の金額は5百万円で、増えました。", "other_language"),
-        (Q, "岑岳集团2020年营业收入为5亿元，", "truncated"), (Q, "岑岳集团2020年营业收入为5亿元（其中", "truncated"), (Q, "收入为5亿元，主要…", "truncated"),
+        (Q, "岑岳集团2020年营业收入为5亿元，", "truncated"), (Q, "岑岳集团2020年营业收入为5亿元（其中", "truncated"), (Q, "收入为5亿元，主要…", "truncated"), (Q, "岑岳集团2020年营业收入为12.", "truncated"), ("What was the year?", "The company reported the figure in 2020.", None),
         (Q, "12.5亿元", "bare"), (Q, "岑岳集团2020年营业收入为12.5亿元。", None),
     ],
 )
