@@ -15,12 +15,24 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.repeated_lines(table(spark, sf, "all_documents"), "row_id", "file_name", "content")
 
 
+def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk without the lines repeated in its file."""
+    return repeated_lines.without_repeated_lines(table(spark, sf, "all_documents"), "row_id", "file_name", "content").select("row_id", "clean_text")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     parts = [("all_documents", "row_id", "content"), ("text_blocks", "block_id", "text")]
     found = [textform.changed(table(spark, sf, t), k, c).select(F.lit(t).alias("table_name"), "row_key") for t, k, c in parts]
     return found[0].unionByName(found[1])
 
 
+def p2_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk and block in the consistent form."""
+    parts = [("all_documents", "row_id", "content"), ("text_blocks", "block_id", "text")]
+    forms = [textform.normalise(table(spark, sf, t), c).select(F.lit(t).alias("table_name"), F.col(k).alias("row_key"), "canonical") for t, k, c in parts]
+    return forms[0].unionByName(forms[1])
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return scanned_pages.page_defects(table(spark, sf, "text_blocks"))
 
@@ -42,6 +54,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return markup.markup_languages(table(spark, sf, "all_documents"), "row_id", "content")
 
 
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk without markup, its structure in one plain notation."""
+    t = table(spark, sf, "all_documents")
+    return t.select("row_id", markup.without_markup(t["content"]).alias("clean_text"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return packing.cut_texts(packing.packing(table(spark, sf, "documents"), table(spark, sf, "pack_specs")))
 
@@ -56,22 +74,18 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The places of the leaked passages in the consistent form of each document, for removal."""
+    found = leakage.leaked_items(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "heldout_items"))
+    return found.select("doc_id", "item_id", F.round("covered", 6).alias("covered"), F.explode("spans").alias("span")).select("doc_id", "item_id", "covered", "span.start", "span.end")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return subject_areas.subject_areas(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "subjects"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found,
-    "p2_found": p2_found,
-    "p3_found": p3_found,
-    "p3_paragraphs": p3_paragraphs,
-    "p4_found": p4_found,
-    "p5_found": p5_found,
-    "p6_found": p6_found,
-    "p7_found": p7_found,
-    "p7_unused_room": p7_unused_room,
-    "p8_found": p8_found,
-    "p9_found": p9_found,
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_canonical, p3_found, p3_paragraphs, p4_found, p5_found, p6_found, p6_clean, p7_found, p7_unused_room, p8_found, p8_spans, p9_found)
 }
 ORACLES: dict[str, str] = {
     "p7_found": """
