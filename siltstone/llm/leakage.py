@@ -38,7 +38,7 @@ from siltstone.runtime import cut
 #: Letters of an index shard: bounds the memory of a task, whatever the partition.
 SHARD = 3_000_000
 #: Rows between sampled suffix positions.
-SAMPLE = 8
+SAMPLE = 4
 #: Items whose seeds are searched at once; more are taken in blocks.
 BLOCK = 2_000
 #: By language: least run, and length of a seed.
@@ -46,7 +46,9 @@ RULES = {"zh": (20, 6), "en": (50, 12)}
 #: Letters of a gap between two seeds of one run, and the share of a run that may differ.
 GAP, CHANGED = 12, 0.12
 #: Part of the letters that a case must show which the seeds left out may cover.
-LEFT_OUT = 0.8
+LEFT_OUT = 0.5
+#: Bits of a seed's hash that are looked up before the hash itself.
+TOP_BITS = 20
 #: Occurrences located at once.
 LOCATED = 1_000_000
 
@@ -70,8 +72,9 @@ class FMIndex:
         self.mark_words, self.mark_before = _packed(marked)
         self.samples = order[marked].astype(np.int32)
         self.base = self._down(np.arange(sigma), np.zeros(sigma, np.int64))
-        # The step from each row to that of the letter before, for all rows in one pass through the matrix.
-        self.back = (self.first[self.bwt] + self.rank(self.bwt, np.arange(self.n))).astype(np.int32)
+        # The step from each row to that of the letter before, first[c] + rank(c, row), for all rows at once by counting sort.
+        self.back = np.empty(self.n, np.int32)
+        self.back[np.argsort(self.bwt.astype(np.uint16) if sigma <= 1 << 16 else self.bwt, kind="stable")] = np.arange(self.n, dtype=np.int32)
 
     def _add(self, bits: np.ndarray) -> None:
         words, before = _packed(bits)
@@ -199,6 +202,8 @@ class Group:
         hashes = _hashes(self.text, size)[self.starts]
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.hashed = hashes[order], self.starts[order]
+        self.tops = np.zeros(1 << TOP_BITS, bool)  # first bits that some seed's hash has
+        self.tops[_top(hashes)] = True
 
     def rare(self, counts: np.ndarray, left: float) -> np.ndarray:
         """Which seeds to locate: those at most as frequent as the bound of their passage.
@@ -263,6 +268,10 @@ class Items:
         return out
 
 
+def _top(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TOP_BITS)).astype(np.int64)
+
+
 def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
     n = len(codes) - size + 1
     total = np.zeros(max(n, 0), np.uint64)
@@ -282,10 +291,12 @@ def _segments(letters: np.ndarray, group: Group, wanted: np.ndarray) -> tuple[np
     Of a document and the wanted items; by item, in the order of the document.
     """
     seeds = _hashes(letters, group.size)
+    at = np.flatnonzero(group.tops[_top(seeds)])
+    seeds = seeds[at]
     low = np.searchsorted(group.hashes, seeds, side="left")
-    at = np.flatnonzero(group.hashes[np.minimum(low, len(group.hashes) - 1)] == seeds)
-    low = low[at]
-    counts = np.searchsorted(group.hashes, seeds[at], side="right") - low
+    same = group.hashes[np.minimum(low, len(group.hashes) - 1)] == seeds
+    at, low, seeds = at[same], low[same], seeds[same]
+    counts = np.searchsorted(group.hashes, seeds, side="right") - low
     start = group.hashed[np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
     asked = np.zeros(len(group.number), bool)
     asked[wanted] = True
@@ -303,6 +314,21 @@ def _segments(letters: np.ndarray, group: Group, wanted: np.ndarray) -> tuple[np
     return item, start - group.begin[item], at[order], length[order]
 
 
+def _joining(item: np.ndarray, j: np.ndarray, at: np.ndarray, length: np.ndarray, group: Group) -> np.ndarray:
+    """Which pieces can be part of a run: long enough by themselves, or with one that goes on from them or they from it."""
+    joins = length >= group.least
+    key = item.astype(np.int64) * (int(at.max(initial=0)) + int(length.max(initial=0)) + GAP + 1) + at
+    last = np.searchsorted(key, key + length + GAP, side="right")
+    a, step = np.arange(len(key)), 1
+    while len(a := a[a + step < last[a]]):
+        b = a + step
+        dj, di = j[b] - j[a] - length[a], at[b] - at[a] - length[a]
+        linked = (dj > -group.size) & (dj <= GAP) & (di > -group.size) & (np.abs(dj - di) <= 3)
+        joins[a[linked]] = joins[b[linked]] = True
+        step += 1
+    return joins
+
+
 def _enough(item: np.ndarray, j: np.ndarray, length: np.ndarray, group: Group, wanted: np.ndarray, share: float) -> np.ndarray:
     """The wanted items of which pieces cover at least `share`."""
     order = np.lexsort((j, item))
@@ -382,7 +408,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _indexed(docs: list[np.ndarray]) -> tuple[FMIndex, np.ndarray, np.ndarray]:
     """The index of a shard, the symbol of each code (-1 where the shard has none), and the ends of its documents."""
     ends = np.cumsum([len(c) + 1 for c in docs])
-    codes = np.zeros(ends[-1] + 1, np.int32)
+    # The end of the text has a symbol of its own, below the one that parts documents, so that steps back never lead astray.
+    codes = np.ones(ends[-1] + 1, np.int32)
+    codes[-1] = 0
     for c, end in zip(docs, ends, strict=True):
         codes[end - 1 - len(c) : end - 1] = c
     present = np.zeros(_PLANES, bool)
@@ -406,6 +434,8 @@ def _cases(doc: tuple[int, np.ndarray, np.ndarray], group: Group, wanted: np.nda
     """(key, item_id, covered, spans) of the wanted items that are cases in a document."""
     key, letters, places = doc
     item, j, at, length = _segments(letters, group, wanted)
+    joins = _joining(item, j, at, length, group)
+    item, j, at, length = item[joins], j[joins], at[joins], length[joins]
     for i in _enough(item, j, length, group, wanted, (1 - 2 * CHANGED) * items.share):
         whole = int(group.begin[i + 1] - group.begin[i])
         own = slice(*np.searchsorted(item, (i, i + 1)))

@@ -25,6 +25,16 @@ def test_suffix_array_and_search():
     assert suffix_array(np.zeros(50, np.int32), 1).tolist() == list(range(49, -1, -1))
 
 
+def test_every_row_of_a_shard_is_located():
+    """Equal short documents, so that many steps back cross a document's start."""
+    r = np.random.RandomState(2)
+    docs = [r.randint(97, 99, r.randint(1, 6)).astype(np.int32) for _ in range(60)]
+    index, symbol, ends = leakage._indexed(docs)
+    assert sorted(index.locate(np.arange(index.n)).tolist()) == list(range(index.n)) and ends[-1] == index.n - 1
+    order = suffix_array(symbol[np.concatenate([*(np.append(d, 1) for d in docs), [0]])], index.sigma)
+    assert index.locate(np.arange(index.n)).tolist() == order.tolist()
+
+
 def passage(r, n=200):
     return "".join(r.choice(ZH + "一二三四五六七八九十甲乙丙丁") for _ in range(n))
 
