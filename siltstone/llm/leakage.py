@@ -8,12 +8,11 @@ frequent may be left, since together they cover too little of the passage to
 make a case. The documents so found are then compared letter by letter with the
 passage, and the runs of both are merged into spans for removal.
 
-The search loses no case that the comparison accepts. A run consists of seeds,
-and at most CHANGED of its letters lie between them; where runs overlap, no
-letter need be counted for more than two of them. So a document that shares
-`share` of a passage has seeds on at least (1 - 2 * CHANGED) * share of its
-letters. The seeds left out cover at most LEFT_OUT of that, and a document is
-compared as soon as located seeds cover the rest.
+The search loses no case that the comparison accepts. A case has runs on `share`
+of the passage, and equal pieces of at least a seed's length, which can join in
+runs, on at least (1 - CHANGED) * share of it. The seeds left out cover at most
+LEFT_OUT of the latter, and a document is compared as soon as located seeds
+cover the rest.
 
 No shuffle: the corpus is read once, where it lies. More than BLOCK items are
 searched block by block in an index that is built once and kept in the shared
@@ -36,7 +35,7 @@ from siltstone.llm.textform import canonical
 from siltstone.runtime import cut
 
 #: Letters of an index shard: bounds the memory of a task, whatever the partition.
-SHARD = 3_000_000
+SHARD = 2_000_000
 #: Rows between sampled suffix positions.
 SAMPLE = 4
 #: Items whose seeds are searched at once; more are taken in blocks.
@@ -49,8 +48,8 @@ GAP, CHANGED = 12, 0.12
 LEFT_OUT = 0.5
 #: Bits of a seed's hash that are looked up before the hash itself.
 TOP_BITS = 20
-#: Occurrences located at once.
-LOCATED = 1_000_000
+#: Occurrences located at once, whole items at a time.
+LOCATED = 2_000_000
 
 
 class FMIndex:
@@ -234,7 +233,7 @@ class Items:
                 self.codes.append(codes)
                 rules.append(_rule(codes))
         self.share = share
-        shown = (1 - 2 * CHANGED) * share
+        shown = (1 - CHANGED) * share
         self.left, self.need = LEFT_OUT * shown, (1 - LEFT_OUT) * shown
         self.groups = []
         for lang, (least, size) in RULES.items():
@@ -248,25 +247,36 @@ class Items:
         for group in self.groups:
             low, high = index.search(symbol[group.text], group.starts, group.size)
             keep = np.flatnonzero(group.rare(high - low, self.left))
-            hits = []
-            for part in np.array_split(keep, max(1, int((high - low)[keep].sum()) // LOCATED)):
-                counts = (high - low)[part]
-                offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                doc = np.searchsorted(ends, index.locate(np.repeat(low[part], counts) + offsets), side="right")
-                # Places of the text in one number: a passage's letters follow one another.
-                hits.append(_distinct(doc * np.int64(len(group.text)) + np.repeat(group.starts[part], counts)))
-            found = _distinct(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-            doc, start = found // len(group.text), found % len(group.text)
-            item = group.of[start]
-            if not len(doc):
-                continue
-            head = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
-            gain = np.where(head, group.size, np.minimum(group.size, np.diff(start, prepend=0)))
-            first = np.flatnonzero(head)
-            enough = np.add.reduceat(gain, first) >= self.need * np.diff(group.begin)[item[first]]
-            out.append((group, doc[first][enough], item[first][enough]))
+            # Whole items together, up to LOCATED occurrences at once.
+            upto = np.cumsum((high - low)[keep])
+            last = np.flatnonzero(np.append(np.diff(group.of[group.starts[keep]]), 1)) + 1
+            parts = np.split(keep, last[np.flatnonzero(np.diff(upto[last - 1] // LOCATED))]) if len(keep) else []
+            found = [self._covering(index, group, ends, part, low[part], (high - low)[part]) for part in parts]
+            doc, item = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            order = np.lexsort((item, doc))
+            out.append((group, doc[order], item[order]))
         return out
 
+    def _covering(self, index: FMIndex, group: Group, ends: np.ndarray, seeds: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) of which some seeds, given by their rows, cover enough; seeds in the order of the text."""
+        rows, which = np.unique(low, return_inverse=True)  # equal seeds have equal rows, and are located once
+        size = np.zeros(len(rows), np.int64)
+        size[which] = counts
+        begin = np.cumsum(size) - size
+        doc = np.searchsorted(ends, index.locate(np.repeat(rows - begin, size) + np.arange(size.sum())), side="right").astype(np.uint16 if len(ends) < 1 << 16 else np.int32)
+        doc = doc[np.repeat(begin[which] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+        start = np.repeat(group.starts[seeds], counts)
+        order = np.argsort(doc, kind="stable")  # by document, then in the order of the text
+        doc, start = doc[order].astype(np.int64), start[order]
+        new = np.concatenate((np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])))
+        doc, start = doc[new], start[new]
+        item = group.of[start]
+        head = np.concatenate((np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+        gain = np.where(head, group.size, np.minimum(group.size, np.diff(start, prepend=0)))
+        first = np.flatnonzero(head)
+        enough = np.add.reduceat(gain, first) >= self.need * np.diff(group.begin)[item[first]] if len(first) else np.zeros(0, bool)
+        return doc[first][enough], item[first][enough]
+
 
 def _top(hashes: np.ndarray) -> np.ndarray:
     return ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TOP_BITS)).astype(np.int64)
@@ -280,11 +290,6 @@ def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
-
-
 def _segments(letters: np.ndarray, group: Group, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
     """(item in the group, place in its passage, place in the document, letters) of all maximal equal pieces of at least a seed.
 
@@ -436,7 +441,7 @@ def _cases(doc: tuple[int, np.ndarray, np.ndarray], group: Group, wanted: np.nda
     item, j, at, length = _segments(letters, group, wanted)
     joins = _joining(item, j, at, length, group)
     item, j, at, length = item[joins], j[joins], at[joins], length[joins]
-    for i in _enough(item, j, length, group, wanted, (1 - 2 * CHANGED) * items.share):
+    for i in _enough(item, j, length, group, wanted, (1 - CHANGED) * items.share):
         whole = int(group.begin[i + 1] - group.begin[i])
         own = slice(*np.searchsorted(item, (i, i + 1)))
         common = runs(list(zip(j[own].tolist(), at[own].tolist(), length[own].tolist(), strict=True)), group.size, group.least)

@@ -80,10 +80,15 @@ def plain(docs, items, share=0.5):
         letters, _ = leakage._letters(leakage.canonical(text))
         for group in block.groups:
             item, j, at, n = leakage._segments(letters, group, np.arange(len(group.number)))
+            if not len(item):
+                continue
+            joins = leakage._joining(item, j, at, n, group)
+            equal = {i: len({x for k in np.flatnonzero(joins & (item == i)) for x in range(j[k], j[k] + n[k])}) for i in range(len(group.number))}
             for i, number in enumerate(group.number):
                 pieces = list(zip(j[item == i].tolist(), at[item == i].tolist(), n[item == i].tolist(), strict=True))
                 common = runs(pieces, group.size, group.least)
-                if sum(b - a for a, b in leakage._merged([(a, b) for a, b, _, _ in common])) >= share * len(block.codes[number]):
+                whole = len(block.codes[number])
+                if equal[i] >= (1 - leakage.CHANGED) * share * whole and sum(b - a for a, b in leakage._merged([(a, b) for a, b, _, _ in common])) >= share * whole:
                     want.add((key, block.ids[number]))
     return want
 
