@@ -36,8 +36,8 @@ def clean(text: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    """All white space to one blank, control characters removed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"[\x00-\x1f\x7f]", ""))
+    """Runs of white space to one blank, control characters removed, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\s\p{Z}\x1c-\x1f\x85]+", " "), r"[\x00-\x08\x0e-\x1b]", ""))
 
 
 def before_split(text: Column) -> Column:
@@ -140,19 +140,88 @@ def chunk_key(source: Column, page: Column, text: Column) -> Column:
     return F.concat(source, F.lit("::page_"), page.cast("string"), F.lit("::chunk_"), F.substring(F.md5(text), 1, 12))
 
 
-# Signs dropped before intents are told apart, and the intent patterns.
-INTENT_SIGNS = r"[\s，。！？、；：“”‘’（）《》,.!?;:'\"()\[\]<>~]+"
-CHAT = r"^(你好|您好|嗨|哈喽|hello|hi|谢谢|再见|早上好|晚上好|你是谁|你能做什么)"
-UNCLEAR = r"^(嗯|啊|哦|继续|然后呢|这个|那个)$"
+# Marks dropped before intents are told apart, questions about the assistant, and questions without a subject.
+INTENT_MARKS = r"[？?！!，,。.；;：:\s\p{Z}]+"
+CHAT = ("你是谁", "你是什么模型", "介绍一下你自己", "请介绍.*你自己", "你好", "您好", "hello", r"(?:^|[^\p{L}\p{N}_])hi(?:$|[^\p{L}\p{N}_])", "你能做什么")
+UNCLEAR = ("这个怎么样", "这个呢", "那这个呢", "那它呢", "这个公司怎么样")
+
+
+def stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")
 
 
 def intent(query: Column) -> Column:
-    """chat, unclear or rag_qa."""
-    bare = F.regexp_replace(F.lower(F.trim(query)), INTENT_SIGNS, "")
-    return F.when(bare.rlike(CHAT), "chat").when(bare.rlike(UNCLEAR) | (F.length(bare) <= 2), "unclear").otherwise("rag_qa")
+    """chat, unclear or rag_qa: patterns are looked for in the query and in its bare form, where a wildcard bridges nothing."""
+    raw = F.lower(stripped(F.coalesce(query, F.lit(""))))
+    bare = F.regexp_replace(raw, INTENT_MARKS, "")
+    tight = lambda patterns: "|".join(p.replace(".*", "") for p in patterns)
+    chat = bare.rlike(tight(CHAT)) | raw.rlike("|".join(CHAT))
+    return F.when(chat, "chat").when(bare.rlike(tight(UNCLEAR)) | (F.length(bare) <= 2), "unclear").otherwise("rag_qa")
+
+
+# Words that lean on what was said before, and words of tasks with several parts.
+LEANING = "它 他 她 他们 她们 它们 这家 那家 该公司 其 这个 那个 前者 后者 那 那么 然后 再 接着 另外 还有 以及 如何 多少 吗".split()
+COMPLEX = "对比 比较 分别 各自 汇总 总结 筛选 排除 不包括 除了 排名 前五 前十 top bottom 比 较 更 多 少".split()
+# What names a company, and what names a figure.
+SUBJECTS = "公司|集团|银行|证券|保险|科技|信息|股份|控股|有限"
+FIGURES = "营收|收入|利润|净利润|归母净利润|毛利率|净利率|同比|环比|估值|PE|PB|ROE|现金流|资产负债率"
+
+
+def stands_alone(query: Column) -> Column:
+    """Names both a company and a figure."""
+    return query.rlike(SUBJECTS) & query.rlike(FIGURES)
+
+
+def needs_rewriting(query: Column) -> Column:
+    """Leans on earlier questions, has several parts, or is long without standing alone. Null and blank never do."""
+    q = stripped(F.coalesce(query, F.lit("")))
+    return (q != "") & (q.rlike("|".join(LEANING)) | q.rlike("|".join(COMPLEX)) | ((F.length(q) > 15) & ~stands_alone(q)))
+
+
+def block_type(text: Column, y0: Column, height: float) -> Column:
+    """header or footer by the block's upper edge, else title by its form, else text."""
+    capitals = (text == F.upper(text)) & text.rlike(r"\p{Lu}")
+    numbered = text.rlike(r"^(?:[一二三四五六七八九十\p{Nd}]+[、.]|第[一二三四五六七八九十\p{Nd}]+[章节])")
+    title = (F.length(text) < 50) & (capitals | numbered)
+    return F.when(y0 < height * 0.08, "header").when(y0 > height * 0.92, "footer").when(title, "title").otherwise("text")
+
+
+def joined_spans(spans: Column) -> Column:
+    """An array of texts as one line: no blank between two ideographs, else one."""
+    han = r"^[\u4e00-\u9fff]"
+    glue = lambda t, x: F.when(t == "", x).when(F.right(t, F.lit(1)).rlike(han) & x.rlike(han), F.concat(t, x)).otherwise(F.concat(t, F.lit(" "), x))
+    return stripped(F.aggregate(F.filter(spans, lambda x: x != ""), F.lit(""), glue))
+
+
+def is_bold(flags: Column, font: Column) -> Column:
+    return F.contains(F.lower(F.coalesce(font, F.lit(""))), F.lit("bold")) | (flags.bitwiseAND(16) != 0)
+
+
+def is_italic(flags: Column, font: Column) -> Column:
+    return F.lower(F.coalesce(font, F.lit(""))).rlike("italic|oblique") | (flags.bitwiseAND(2) != 0)
+
+
+def plain_table(rows: Column) -> Column:
+    """An array of rows of cells as a Markdown table, cells trimmed only: neither padded nor escaped."""
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: stripped(F.coalesce(c, F.lit("")))), " | "), F.lit(" |"))
+    ruler = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(rows[0])), " | "), F.lit(" |"))
+    rest = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(rows[0]), ruler), rest), "\n")).otherwise("")
+
+
+def with_sources(answer: Column, sources: Column) -> Column:
+    """The answer with its list of sources, unless it names them itself."""
+    return F.when(F.contains(answer, F.lit("来源")), answer).otherwise(F.concat(F.regexp_replace(answer, r"\s+$", ""), F.lit("\n\n来源：\n"), sources))
+
+
+def first_key(own: Column, other: Column, made: Column) -> Column:
+    """The first of three keys that is neither null nor empty."""
+    return F.coalesce(F.nullif(own, F.lit("")), F.nullif(other, F.lit("")), made)
 
 
-def block_type(text: Column, y0: Column, y1: Column, height: float) -> Column:
-    """header, footer, title or text by place and form."""
-    heading = (F.length(text) < 50) & (((text == F.upper(text)) & text.rlike("[A-Z]")) | text.rlike(r"^(?:\d+(?:\.\d+)*[\s、.]|第[一二三四五六七八九十]+[章节]|[一二三四五六七八九十]+、)"))
-    return F.when(y0 < height * 0.08, "header").when(y1 > height * 0.92, "footer").when(heading, "title").otherwise("text")
+def selection(text: str, most: int) -> list[int]:
+    """Places chosen by digits alone (`123`) or by a list (`1,3,5`), within 1 to `most`, each once, in the order given."""
+    parts = text.replace("，", ",").split(",") if "," in text or "，" in text else list(text)
+    chosen = (int(p) for p in map(str.strip, parts) if p.isdigit())
+    return list(dict.fromkeys(n for n in chosen if 1 <= n <= most))

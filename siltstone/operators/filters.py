@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import stripped
+
 GROUP = ("query_id", "sub_query")
 
 
@@ -21,9 +23,9 @@ def soft(hits: DataFrame, matches: Column, group: tuple[str, ...] = GROUP) -> Da
 
 
 def all_values(values: Column, text: Column) -> Column:
-    """Every value (an array; null and empty values are ignored) stands in the text."""
+    """Every value (an array; null and empty values are ignored, blanks around the others too) stands in the text."""
     kept = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != ""))
-    return F.forall(kept, lambda v: F.contains(text, F.lower(v)))
+    return F.forall(kept, lambda v: F.contains(text, F.lower(stripped(v))))
 
 
 def exclude(hits: DataFrame, terms: Column, text: Column) -> DataFrame:

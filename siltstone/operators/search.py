@@ -41,7 +41,8 @@ def structured(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | Non
 
     questions: query_id, sub_queries array, filter_values array, exclude_terms
     array, required_terms array, top_k. Filters run in this order on the hits of
-    each sub-query; then hits are merged, made unique and balanced.
+    each sub-query; then hits are merged, made unique by file, page and chunk
+    where the chunks have these columns, and balanced.
     """
     parts = questions.select("*", F.posexplode("sub_queries").alias("sub_query", "query"))
     asked = parts.withColumn("qid", F.xxhash64("query_id", "sub_query"))
@@ -51,5 +52,23 @@ def structured(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | Non
     found = filters.soft(joined, filters.all_values(F.col("filter_values"), filters.searchable(F.col("text"), *meta)))
     found = filters.exclude(found, F.col("exclude_terms"), F.col("text"))
     found = filters.soft(found, filters.all_values(F.col("required_terms"), F.lower("text")))
-    single = fusion.deduplicate(found, ["key"], [F.col("sub_query"), F.col("rank")])
+    place = [c for c in ("file_name", "page_num", "chunk_id") if c in chunks.columns]
+    single = fusion.deduplicate(found, place if len(place) == 3 else ["key"], [F.col("sub_query"), F.col("rank"), F.col("key")])
     return fusion.balance(single, FINAL).filter(F.col("position") <= F.coalesce("top_k", F.lit(5))).select("query_id", "position", "sub_query", "key", "rank")
+
+
+def report_search(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, mode: str = "bm25", k: int = 10) -> DataFrame:
+    """(query_id, search_kind, position, key): plain search for questions of the kind `fact`, structured search for all others.
+
+    questions: as for `structured`, with task_type, query and rewritten_query. A
+    fact is looked for by its query, else its rewritten query, and neither filters
+    nor terms nor sub-queries apply; a question without a task type is a fact.
+    A structured question without sub-queries has its rewritten query as the only one.
+    """
+    fact = F.coalesce("task_type", F.lit("fact")) == "fact"
+    words = F.coalesce(F.nullif("query", F.lit("")), F.nullif("rewritten_query", F.lit("")))
+    simple = search(questions.filter(fact).select("query_id", words.alias("query")).filter("query is not null"), chunks, vectors, mode, k)
+    subs = F.when(F.size(F.coalesce("sub_queries", F.array().cast("array<string>"))) > 0, F.col("sub_queries")).otherwise(F.array("rewritten_query"))
+    rest = structured(questions.filter(~fact).withColumn("sub_queries", subs).drop("query", "rewritten_query", "task_type"), chunks, vectors, mode, k)
+    plain = simple.select("query_id", F.lit("simple").alias("search_kind"), F.col("rank").alias("position"), "key")
+    return plain.unionByName(rest.select("query_id", F.lit("structured").alias("search_kind"), "position", "key"))

@@ -38,12 +38,65 @@ def ordered_text(value: Column, order: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"]), separator)
 
 
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def context(hits: DataFrame, text: str = "text", most: int = 500) -> DataFrame:
-    """(query_id, context): numbered extracts of the hits of each query."""
-    t = F.col(text)
-    cut = F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
-    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), cut)
-    return hits.groupBy("query_id").agg(ordered_text(block, F.col("rank"), "\n\n").alias("context"))
+    """(query_id, context): the hits of each query as numbered extracts with file name and page."""
+    t = _text(text)
+    shown = F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
+    block = F.concat(F.lit("[片段"), F.col("rank").cast("string"), F.lit("]\n文件名: "), _text("file_name"), F.lit("\n页码: "), _text("page_num"), F.lit("\n内容: "), shown, F.lit("\n"))
+    return hits.groupBy("query_id").agg(ordered_text(block, F.col("rank"), "\n").alias("context"))
+
+
+def fragments(hits: DataFrame, text: str = "text", sub_query: str | None = None) -> DataFrame:
+    """(query_id, fragments): the whole hits of each query as one text, with the sub-query of each if named."""
+    own = (F.lit("\n子查询: "), _text(sub_query)) if sub_query else ()
+    block = F.concat(F.lit("[片段"), F.col("rank").cast("string"), F.lit("]\n文件名: "), _text("file_name"), F.lit("\n页码: "), _text("page_num"), *own, F.lit("\n内容: "), _text(text), F.lit("\n"))
+    return hits.groupBy("query_id").agg(ordered_text(block, F.col("rank"), "\n").alias("fragments"))
+
+
+def sources(hits: DataFrame) -> DataFrame:
+    """(query_id, sources): each file and page of a query's hits once, in the order in which they come first."""
+    first = hits.groupBy("query_id", _text("file_name").alias("f"), _text("page_num").alias("p")).agg(F.min("rank").alias("rank"))
+    line = F.concat(F.lit("- "), F.col("f"), F.lit("，第"), F.col("p"), F.lit("页"))
+    return first.groupBy("query_id").agg(ordered_text(line, F.col("rank"), "\n").alias("sources"))
+
+
+def evidences(hits: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, id, page, pdf, content, score): hits as evidence, counted from 0."""
+    page, pdf = F.coalesce(F.nullif(_text("page_num"), F.lit("")), F.lit("未知")), F.coalesce(F.nullif(_text("file_name"), F.lit("")), F.lit("文档"))
+    return hits.select("query_id", (F.col("rank") - 1).alias("id"), page.alias("page"), pdf.alias("pdf"), F.col(text).alias("content"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def normalised(results: DataFrame, order: list[str], metadata: str | None = None) -> DataFrame:
+    """Results of any retriever with the columns doc_id, chunk_id, file_name, page_num, content and score.
+
+    What a row lacks is taken from its metadata (a struct column), then from its
+    place among the results of its query: doc_{n}, chunk_{n}, counted from 0.
+    """
+    have = set(results.columns)
+    inner = {f.name for f in results.schema[metadata].dataType.fields} if metadata else set()
+    place = (F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).cast("string")
+    found = lambda *names: [F.col(n) for n in names if n in have] + [F.col(metadata)[n] for n in names if n in inner]
+    pick = lambda names, last: F.coalesce(*[x.cast("string") for x in found(*names)], last)
+    score = F.coalesce(*[x.cast("double") for x in found("score")], F.lit(None).cast("double"))
+    return results.select(
+        "query_id",
+        place.cast("int").alias("place"),
+        pick(("doc_id",), F.concat(F.lit("doc_"), place)).alias("doc_id"),
+        pick(("chunk_id",), F.concat(F.lit("chunk_"), place)).alias("chunk_id"),
+        pick(("file_name",), F.lit("")).alias("file_name"),
+        pick(("page_num",), F.lit("")).alias("page_num"),
+        pick(("content", "page_content"), F.lit("")).alias("content"),
+        score.alias("score"),
+    )
+
+
+def contributions(hits: DataFrame, by: str) -> DataFrame:
+    """(query_id, value, n): how many hits of each query share a value, such as the sub-query or the file."""
+    return hits.groupBy("query_id", F.col(by).cast("string").alias("value")).agg(F.count("*").alias("n"))
 
 
 def citations(hits: DataFrame, length: int = 180) -> DataFrame:

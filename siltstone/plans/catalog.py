@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import chunking, metrics, similarity, text
-from siltstone.operators import bm25, evaluation, filters, fusion, layout, memory, rerank, search, tools, vector
+from siltstone.operators import bm25, evaluation, filters, fusion, layout, memory, recognition, rerank, search, tools, vector
 from siltstone.runtime import table
+from siltstone.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,9 +61,14 @@ _STATS = """
     r AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM f, c),
     i AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r)
 """
-_HITS = f"""{_DOCS}, {_STATS},
-    q AS (SELECT item_id AS query_id, query FROM testset WHERE item_id % 100 = 0
-      UNION ALL SELECT item_id + 1000000000, question FROM heldout_items WHERE item_id % 100 = 0),
+_ASKED = """SELECT item_id AS query_id, query FROM testset WHERE item_id % 100 = 0
+      UNION ALL SELECT item_id + 1000000000, question FROM heldout_items WHERE item_id % 100 = 0"""
+
+
+def _hits_sql(asked: str) -> str:
+    """The best ten chunks (h) of the questions of a statement."""
+    return f"""{_DOCS}, {_STATS},
+    q AS ({asked}),
     w AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format('query')}) AS term FROM q) GROUP BY ALL),
     p AS (SELECT key, length, term, count(*) AS tf FROM (SELECT key, len(tokens) AS length, unnest(tokens) AS term FROM d) GROUP BY ALL),
     s AS (SELECT query_id, key, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / average))), 6) AS score
@@ -71,6 +77,9 @@ _HITS = f"""{_DOCS}, {_STATS},
 """
 
 
+_HITS = _hits_sql(_ASKED)
+
+
 # --- text functions ----------------------------------------------------------------------
 
 
@@ -129,12 +138,76 @@ def md5_chunk_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "all_documents").select("row_id", text.chunk_key(F.col("file_name"), F.col("page_num"), F.col("content")).alias("chunk_key"))
 
 
-@query(f"""SELECT item_id, CASE WHEN regexp_matches(b, '{text.CHAT}') THEN 'chat' WHEN regexp_matches(b, '{text.UNCLEAR}') OR length(b) <= 2 THEN 'unclear' ELSE 'rag_qa' END AS intent
-    FROM (SELECT item_id, regexp_replace(lower(trim(query)), '{text.INTENT_SIGNS.replace("'", "''")}', '', 'g') AS b FROM testset)""")
+@query(r"""WITH r AS (SELECT item_id, lower(regexp_replace(coalesce(query, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS raw FROM testset),
+    b AS (SELECT *, regexp_replace(raw, '[？?！!，,。.；;：:\s\p{Z}]+', '', 'g') AS bare FROM r)
+    SELECT item_id, CASE WHEN regexp_matches(bare, '你是谁|你是什么模型|介绍一下你自己|请介绍你自己|你好|您好|hello|(^|[^\p{L}\p{N}_])hi($|[^\p{L}\p{N}_])|你能做什么')
+        OR regexp_matches(raw, '你是谁|你是什么模型|介绍一下你自己|请介绍.*你自己|你好|您好|hello|(^|[^\p{L}\p{N}_])hi($|[^\p{L}\p{N}_])|你能做什么') THEN 'chat'
+      WHEN regexp_matches(bare, '这个怎么样|这个呢|那这个呢|那它呢|这个公司怎么样') OR length(bare) <= 2 THEN 'unclear' ELSE 'rag_qa' END AS intent FROM b""")
 def route_intent(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "testset").select("item_id", text.intent(F.col("query")).alias("intent"))
 
 
+@query(r"""WITH t AS (SELECT item_id, regexp_replace(coalesce(query, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS q FROM testset),
+    f AS (SELECT *, regexp_matches(q, '公司|集团|银行|证券|保险|科技|信息|股份|控股|有限') AND regexp_matches(q, '营收|收入|利润|净利润|归母净利润|毛利率|净利率|同比|环比|估值|PE|PB|ROE|现金流|资产负债率') AS alone FROM t)
+    SELECT item_id, alone, q <> '' AND (regexp_matches(q, '它|他|她|这家|那家|该公司|其|这个|那个|前者|后者|那|然后|再|接着|另外|还有|以及|如何|多少|吗')
+      OR regexp_matches(q, '对比|比较|分别|各自|汇总|总结|筛选|排除|不包括|除了|排名|前五|前十|top|bottom|比|较|更|多|少') OR length(q) > 15 AND NOT alone) AS rewriting FROM f""")
+def rewrite_need(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.col("query")
+    return table(spark, sf, "testset").select("item_id", text.stands_alone(text.stripped(F.coalesce(q, F.lit("")))).alias("alone"), text.needs_rewriting(q).alias("rewriting"))
+
+
+@query(r"""SELECT row_id, md5(trim(regexp_replace(regexp_replace(content, '[\s\p{Z}\x1c-\x1f\x{85}]+', ' ', 'g'), '[\x00-\x08\x0e-\x1b]', '', 'g'))) AS one_line_md5,
+    md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(content, chr(160), ' '), '(?m)^\s*=+\s*$', '', 'g'), '(?m)^\s*\d+\s*/\s*\d+\s*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS before_split_md5,
+    md5(replace(trim(regexp_replace(replace(coalesce(title, ''), chr(10), '<br>'), '[ \t]+', ' ', 'g')), '|', '\|')) AS cell_md5 FROM all_documents""")
+def clean_forms(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("content")
+    forms = {"one_line_md5": text.one_line(t), "before_split_md5": text.before_split(t), "cell_md5": text.cell(F.col("title"))}
+    return table(spark, sf, "all_documents").select("row_id", *[F.md5(x).alias(n) for n, x in forms.items()])
+
+
+@query(r"""SELECT item_id, CASE WHEN length(query) > 12 THEN left(query, 12) || '...' ELSE query END AS short, trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS folded,
+    left(regexp_replace('api_key=' || item_id || ' ' || query, '(?i)((?:api[_-]?key|token|secret|password)\s*[=:]\s*)[^\s,;&]+', '\1***', 'g'), 1000) AS redacted,
+    CASE WHEN contains(reference, '来源') THEN reference ELSE regexp_replace(reference, '\s+$', '') || chr(10) || chr(10) || '来源：' || chr(10) || '- 无' END AS sourced FROM testset""")
+def text_forms(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.col("query")
+    secret = F.concat(F.lit("api_key="), F.col("item_id").cast("string"), F.lit(" "), q)
+    return table(spark, sf, "testset").select("item_id", text.truncated(q, 12).alias("short"), text.folded(q).alias("folded"), text.redacted(secret).alias("redacted"), text.with_sources(F.col("reference"), F.lit("- 无")).alias("sourced"))
+
+
+@query(rf"""WITH l AS (SELECT row_id, list_filter(list_transform(string_split(content, chr(10)), lambda x: {_CLEAN.format("x")}), lambda x: x <> '')[1:80] AS lines FROM all_documents),
+    c AS (SELECT row_id, list_filter(lines, lambda x: length(x) BETWEEN 6 AND 40 AND NOT regexp_full_match(x, '\d{{1,3}}|-\s*\d{{1,3}}\s*-|第\s*\d+\s*页') AND NOT regexp_matches(x, '20\d{{2}}[-/\.年]\d{{1,2}}[-/\.月]\d{{1,2}}|20\d{{6}}')
+      AND NOT regexp_matches(x, '请务必阅读正文之后的免责条款部分|风险提示|目录|证券研究报告|行业评级|投资评级') AND NOT regexp_matches(x, '^[一-龥A-Za-z]{{2,20}}(?:证券|研究所|基金|资管)$')) AS c FROM l)
+    SELECT row_id, coalesce(list_filter(c, lambda x: regexp_matches(x, '深度|专题|点评|研究|报告|行业|公司|策略|跟踪'))[1], c[1]) AS title FROM c""")
+def title_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "all_documents").select("row_id", text.title(F.col("content")).alias("title"))
+
+
+@query("""SELECT row_id, coalesce(nullif(chunk_id, ''), file_name || '::page_' || page_num || '::chunk_' || left(md5(content), 12)) AS builder_key,
+    coalesce(nullif(chunk_id, ''), file_name || '::page_' || page_num || '::chunk_' || (row_number() OVER (PARTITION BY file_name, page_num ORDER BY row_id) - 1)) AS judge_key FROM all_documents""")
+def chunk_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys of chunks by both rules: content, or place in the page, where a chunk has no id."""
+    t = table(spark, sf, "all_documents")
+    place = (F.row_number().over(Window.partitionBy("file_name", "page_num").orderBy("row_id")) - 1).cast("string")
+    at = F.concat("file_name", F.lit("::page_"), F.col("page_num").cast("string"), F.lit("::chunk_"), place)
+    none = F.lit(None).cast("string")
+    made = text.chunk_key(F.col("file_name"), F.col("page_num"), F.col("content"))
+    return t.select("row_id", text.first_key(F.col("chunk_id"), none, made).alias("builder_key"), text.first_key(F.col("chunk_id"), none, at).alias("judge_key"))
+
+
+@query("""SELECT r_regionkey AS key, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || r_regionkey || ' | ' || r_name || ' |' AS padded,
+    '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || r_regionkey || ' | ' || r_name || ' |' AS plain FROM region""")
+def table_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    row = F.array(F.col("r_regionkey").cast("string"), F.concat(F.lit(" "), F.col("r_name")))
+    rows = F.array(F.array(F.lit("key"), F.lit("name")), row)
+    blank = F.array(F.lit(""), F.lit(None).cast("string"))
+    return table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), text.markdown_table(F.concat(rows, F.array(blank))).alias("padded"), text.plain_table(rows).alias("plain"))
+
+
+@query("""SELECT doc_id, md5(string_agg(content, chr(10) ORDER BY page_num, content)) AS front_md5 FROM all_documents WHERE page_num <= 3 AND trim(content) <> '' GROUP BY doc_id""")
+def front_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.front_text(table(spark, sf, "all_documents")).select("doc_id", F.md5("text").alias("front_md5"))
+
+
 @query("""SELECT row_id, n, md5(w) AS window_md5 FROM (
     SELECT doc_id AS row_id, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, length(text), 800) END) AS s, s // 800 AS n,
       CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, s + 1, 1000) END AS w FROM documents WHERE text IS NOT NULL)""")
@@ -245,10 +318,84 @@ def soft_required(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_HITS}, {_PART} SELECT query_id, key, rank FROM hf
-    QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(file_name, ''), coalesce(page_num::VARCHAR, '') ORDER BY rank) = 1""")
+    QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(file_name, ''), coalesce(page_num::VARCHAR, ''), coalesce(chunk_id, '') ORDER BY rank) = 1""")
 def hit_dedup(spark: SparkSession, sf: str) -> DataFrame:
     hits = _hits(spark, sf).join(_chunks(spark, sf), "key")
-    return fusion.deduplicate(hits, ["file_name", "page_num"], [F.col("rank")]).select("query_id", "key", "rank")
+    return fusion.deduplicate(hits, ["file_name", "page_num", "chunk_id"], [F.col("rank")]).select("query_id", "key", "rank")
+
+
+_ORIGIN = "'文件名: ' || coalesce(file_name, '') || chr(10) || '页码: ' || coalesce(page_num::VARCHAR, '') || chr(10)"
+
+
+@query(f"""WITH {_HITS}, {_PART} SELECT query_id, md5(string_agg('[片段' || rank || ']' || chr(10) || {_ORIGIN} || '内容: ' || CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END || chr(10),
+    chr(10) ORDER BY rank)) AS context_md5 FROM hf GROUP BY query_id""")
+def context_render(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).join(_chunks(spark, sf), "key")
+    return tools.context(hits).select("query_id", F.md5("context").alias("context_md5"))
+
+
+@query(f"""WITH {_HITS}, {_PART} SELECT query_id, md5(string_agg('[片段' || rank || ']' || chr(10) || {_ORIGIN} || '子查询: ' || rank % 3 || chr(10) || '内容: ' || content || chr(10), chr(10) ORDER BY rank)) AS fragments_md5
+    FROM hf GROUP BY query_id""")
+def tool_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).withColumn("sub_query", F.col("rank") % 3).join(_chunks(spark, sf), "key")
+    return tools.fragments(hits, sub_query="sub_query").select("query_id", F.md5("fragments").alias("fragments_md5"))
+
+
+@query(f"""WITH {_HITS}, {_PART}, places AS (SELECT query_id, coalesce(file_name, '') AS file, coalesce(page_num::VARCHAR, '') AS page, min(rank) AS rank FROM hf GROUP BY ALL)
+    SELECT query_id, string_agg('- ' || file || '，第' || page || '页', chr(10) ORDER BY rank) AS sources FROM places GROUP BY query_id""")
+def source_list(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.sources(_hits(spark, sf).join(_chunks(spark, sf), "key"))
+
+
+@query(f"""WITH {_HITS}, {_PART} SELECT query_id, rank - 1 AS id, coalesce(page_num::VARCHAR, '未知') AS page, coalesce(nullif(file_name, ''), '文档') AS pdf, content, score FROM hf""")
+def evidence_list(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.evidences(_hits(spark, sf).join(_chunks(spark, sf), "key"))
+
+
+@query(f"""WITH {_HITS}, {_PART} SELECT query_id, rank - 1 AS place, 'doc_' || (rank - 1) AS doc_id, coalesce(chunk_id, 'chunk_' || (rank - 1)) AS chunk_id, coalesce(file_name, '') AS file_name,
+    coalesce(page_num::VARCHAR, '') AS page_num, md5(content) AS content_md5, score FROM hf""")
+def result_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).join(_chunks(spark, sf), "key")
+    raw = hits.select("query_id", "rank", "score", F.col("text").alias("page_content"), F.struct("chunk_id", "file_name", "page_num").alias("metadata"))
+    return tools.normalised(raw, ["rank"], "metadata").withColumn("content_md5", F.md5("content")).drop("content")
+
+
+@query(f"WITH {_HITS}, {_PART} SELECT query_id, file_name AS value, count(*) AS n FROM hf GROUP BY ALL")
+def hit_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.contributions(_hits(spark, sf).join(_chunks(spark, sf), "key"), "file_name")
+
+
+def _parts(asked: str, sub: str = "2") -> str:
+    """Structured search of questions, each with itself and itself after two words as sub-queries; the filter value is 2020, the limit 6."""
+    both = f"SELECT query_id * 2 + n AS query_id, CASE WHEN n = 0 THEN query ELSE '营业收入 ' || query END AS query FROM ({asked}), range({sub}) t(n)"
+    return f"""{_hits_sql(both)},
+    j AS (SELECT query_id // 2 AS own, query_id % 2 AS sub_query, key, rank, contains(lower(concat_ws(' ', content, file_name, company, title, broker, report_date, chunk_id, page_num)), '2020') AS ok,
+          coalesce(file_name, '') AS f, coalesce(page_num::VARCHAR, '') AS g, coalesce(chunk_id, '') AS ch FROM h JOIN all_documents ON row_id = key),
+    o AS (SELECT * FROM j QUALIFY ok OR NOT max(ok) OVER (PARTITION BY own, sub_query)),
+    u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY own, f, g, ch ORDER BY sub_query, rank, key) = 1),
+    t AS (SELECT *, row_number() OVER (PARTITION BY own, sub_query ORDER BY rank) AS turn FROM u),
+    z AS (SELECT own AS query_id, row_number() OVER (PARTITION BY own ORDER BY turn, sub_query) AS position, sub_query, key, rank FROM t QUALIFY position <= 6)"""
+
+
+def _questions(asked: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return asked.select("query_id", "query", F.array("query", F.concat(F.lit("营业收入 "), "query")).alias("sub_queries"), F.array(F.lit("2020 ")).alias("filter_values"), none.alias("exclude_terms"), none.alias("required_terms"), F.lit(6).alias("top_k"))
+
+
+@query(f"WITH {_parts(_ASKED)} SELECT query_id, position, sub_query, key, rank FROM z")
+def structured_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search.structured(_questions(_asked(spark, sf)).drop("query"), _chunks(spark, sf))
+
+
+_FACTS = f"SELECT * FROM ({_ASKED}) WHERE query_id % 200 = 0"
+_OTHERS = f"SELECT * FROM ({_ASKED}) WHERE query_id % 200 <> 0"
+
+
+@query(f"""SELECT query_id, 'simple' AS search_kind, rank AS position, key FROM (WITH {_hits_sql(_FACTS)} SELECT * FROM h)
+    UNION ALL SELECT query_id, 'structured', position, key FROM (WITH {_parts(_OTHERS)} SELECT * FROM z)""")
+def report_search(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("query_id") % 200 == 0, "fact").otherwise("compare")
+    return search.report_search(_questions(_asked(spark, sf)).withColumn("task_type", kind).withColumn("rewritten_query", F.col("query")), _chunks(spark, sf))
 
 
 @query(f"""WITH {_HITS}, b AS (SELECT query_id, key, rank, rank % 3 AS sub_query, row_number() OVER (PARTITION BY query_id, rank % 3 ORDER BY rank) AS turn FROM h)
@@ -258,14 +405,6 @@ def round_robin_balance(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.balance(hits, 5).select("query_id", "key", "sub_query", "position")
 
 
-@query()
-def structured_search(spark: SparkSession, sf: str) -> DataFrame:
-    asked = _asked(spark, sf)
-    none = F.array().cast("array<string>")
-    questions = asked.select("query_id", F.array("query", F.concat(F.lit("营业收入 "), "query")).alias("sub_queries"), F.array(F.lit("2020")).alias("filter_values"), none.alias("exclude_terms"), none.alias("required_terms"), F.lit(6).alias("top_k"))
-    return search.structured(questions, _chunks(spark, sf))
-
-
 @query()
 def rerank_max_segment(spark: SparkSession, sf: str) -> DataFrame:
     hits = _hits(spark, sf).select("query_id", "key").join(_asked(spark, sf), "query_id").join(_chunks(spark, sf).select("key", "text"), "key")
@@ -293,13 +432,6 @@ def report_catalog_year(spark: SparkSession, sf: str) -> DataFrame:
     return tools.catalog(table(spark, sf, "all_documents"), "doc_id", ["row_id", "file_name", "title", "company", "broker", "report_date"], ["row_id"], year="2021", limit=20)
 
 
-@query(f"""WITH {_HITS}, {_PART} SELECT query_id, md5(string_agg('[' || rank || '] ' || CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END, chr(10) || chr(10) ORDER BY rank)) AS context_md5
-    FROM hf GROUP BY query_id""")
-def context_render(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _hits(spark, sf).join(_chunks(spark, sf).select("key", "text"), "key")
-    return tools.context(hits).select("query_id", F.md5("context").alias("context_md5"))
-
-
 @query(f"WITH {_HITS}, {_PART} SELECT query_id, rank, file_name, page_num, chunk_id, left(content, 180) AS snippet FROM hf")
 def citations(spark: SparkSession, sf: str) -> DataFrame:
     return tools.citations(_hits(spark, sf).join(_chunks(spark, sf), "key"))
@@ -317,7 +449,7 @@ _YEARS = """t AS (SELECT year(o_orderdate) AS year, sum(o_totalprice::DECIMAL(20
 
 
 def _years(spark: SparkSession, sf: str) -> DataFrame:
-    years = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast(metrics.AMOUNT)).cast(metrics.AMOUNT).alias("total"))
+    years = table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,6)")).cast("decimal(20,6)").alias("total"))
     before = years.select((F.col("year") + 1).alias("year"), F.col("total").alias("previous"))
     return years.join(before, "year", "left")
 
@@ -366,7 +498,7 @@ def iou_jaccard_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT *, max(x1) OVER p + 1 AS width FROM text_blocks WINDOW p AS (PARTITION BY doc_id, page)),
-    z AS (SELECT *, CASE WHEN x0 < width / 2 AND x1 > width / 2 OR x1 - x0 > 0.7 * width THEN 'cross' WHEN (x0 + x1) / 2 < width / 2 THEN 'left' ELSE 'right' END AS zone FROM w),
+    z AS (SELECT *, CASE WHEN x0 < width / 2 AND x1 > width / 2 OR x1 - x0 > 0.7 * width THEN 'cross' WHEN (x0 + x1) / 2 <= width / 2 THEN 'left' ELSE 'right' END AS zone FROM w),
     c AS (SELECT *, sum((zone = 'left')::INT) OVER p >= 3 AND sum((zone = 'right')::INT) OVER p >= 3 AS two_columns FROM z WINDOW p AS (PARTITION BY doc_id, page))
     SELECT block_id, zone, two_columns, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN NOT two_columns OR zone = 'cross' THEN 0 WHEN zone = 'left' THEN 1 ELSE 2 END, y0, x0, block_id) AS reading_order FROM c""")
 def layout_two_column(spark: SparkSession, sf: str) -> DataFrame:
@@ -379,36 +511,192 @@ def header_footer_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _blocks(spark, sf).filter(~F.coalesce(layout.is_head_or_foot(), F.lit(False))).select("block_id")
 
 
-@query(r"""SELECT block_id, CASE WHEN y0 < 840 * 0.08::DOUBLE THEN 'header' WHEN y1 > 840 * 0.92::DOUBLE THEN 'footer'
-    WHEN length(text) < 50 AND (text = upper(text) AND regexp_matches(text, '[A-Z]') OR regexp_matches(text, '^(?:\d+(?:\.\d+)*[\s、.]|第[一二三四五六七八九十]+[章节]|[一二三四五六七八九十]+、)')) THEN 'title' ELSE 'text' END AS kind FROM text_blocks""")
+@query(r"""SELECT block_id, CASE WHEN y0 < 840 * 0.08::DOUBLE THEN 'header' WHEN y0 > 840 * 0.92::DOUBLE THEN 'footer'
+    WHEN length(text) < 50 AND (text = upper(text) AND regexp_matches(text, '\p{Lu}') OR regexp_matches(text, '^[一二三四五六七八九十\p{Nd}]+[、\.]') OR regexp_matches(text, '^第[一二三四五六七八九十\p{Nd}]+[章节]')) THEN 'title' ELSE 'text' END AS kind FROM text_blocks""")
 def block_type(spark: SparkSession, sf: str) -> DataFrame:
-    return _blocks(spark, sf).select("block_id", text.block_type(F.col("text"), F.col("y0"), F.col("y1"), 840.0).alias("kind"))
+    return _blocks(spark, sf).select("block_id", text.block_type(F.col("text"), F.col("y0"), 840.0).alias("kind"))
+
+
+_FUSED = """b AS (SELECT *, (x0 + x1) / 2 AS c FROM text_blocks WHERE text IS NOT NULL),
+    m AS (SELECT doc_id, page, list_sort(list(c)) AS al, list_sort(coalesce(list(c) FILTER (block_type = 'text'), [])) AS tl FROM b GROUP BY ALL),
+    k AS (SELECT *, al[len(al) // 2 + 1] AS middle, tl[len(tl) // 2 + 1] AS own FROM m),
+    n AS (SELECT doc_id, page, middle, len(tl) >= 5 AND len(list_filter(tl, lambda x: x < own * 0.8::DOUBLE)) > 2 AND len(list_filter(tl, lambda x: x > own * 1.2::DOUBLE)) > 2 AS many FROM k),
+    o AS (SELECT b.*, many, row_number() OVER (PARTITION BY b.doc_id, b.page ORDER BY CASE WHEN many AND c >= middle THEN 1 ELSE 0 END, y0, x0, block_id) AS place
+      FROM b JOIN n ON b.doc_id IS NOT DISTINCT FROM n.doc_id AND b.page IS NOT DISTINCT FROM n.page)"""
+
+
+@query(f"WITH {_FUSED} SELECT block_id, coalesce(many, false) AS many_columns, place FROM o")
+def fused_order(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.fused_order(_blocks(spark, sf).filter("text is not null"), "block_id").select("block_id", "many_columns", "place")
 
 
-@query("""SELECT doc_id, page, md5('## Page ' || page || chr(10) || chr(10) || string_agg(CASE WHEN block_type = 'title' THEN '### ' || text WHEN block_type IN ('header', 'footer') THEN '*' || text || '*' ELSE text END,
-    chr(10) || chr(10) ORDER BY y0, x0, block_id)) AS markdown_md5 FROM text_blocks WHERE text IS NOT NULL GROUP BY doc_id, page""")
+_LINE = r"trim(regexp_replace(regexp_replace(text, '[\s\p{{Z}}\x1c-\x1f\x{{85}}]+', ' ', 'g'), '[\x00-\x08\x0e-\x1b]', '', 'g'))".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""WITH {_FUSED}, p AS (SELECT doc_id, page, string_agg(CASE WHEN block_type = 'title' THEN chr(10) || '### ' || {_LINE} || chr(10) WHEN block_type = 'table' THEN chr(10) || text || chr(10)
+      WHEN block_type IN ('header', 'footer') THEN chr(10) || '*' || {_LINE} || '*' || chr(10) ELSE {_LINE} END, chr(10) ORDER BY place) AS body FROM o GROUP BY ALL)
+    SELECT doc_id, page, md5(CASE WHEN page = min(page) OVER (PARTITION BY doc_id) THEN '' ELSE chr(10) || '---' || chr(10) || chr(10) END || '## Page ' || page || chr(10) || chr(10) || body) AS markdown_md5 FROM p""")
 def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return layout.page_markdown(_blocks(spark, sf), "block_id").select("doc_id", "page", F.md5("markdown").alias("markdown_md5"))
 
 
-@query("""WITH c AS (SELECT doc_id, page, source, count(*) AS n FROM text_blocks GROUP BY ALL),
-    s AS (SELECT doc_id, page, source AS main_source FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, source) = 1),
-    t AS (SELECT doc_id, page, count(*) AS blocks, round(avg(confidence), 6) AS mean_confidence FROM text_blocks GROUP BY ALL)
-    SELECT t.*, main_source FROM t JOIN s ON t.doc_id IS NOT DISTINCT FROM s.doc_id AND t.page = s.page""")
-def page_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.page_summary(_blocks(spark, sf))
+_SAME = "o.doc_id IS NOT DISTINCT FROM f.doc_id AND o.page IS NOT DISTINCT FROM f.page AND o.n = f.n + 1"
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT *, max(x1) OVER p + 1 AS width FROM text_blocks WINDOW p AS (PARTITION BY doc_id, page)),
+    z AS (SELECT *, CASE WHEN x0 < width / 2 AND x1 > width / 2 OR x1 - x0 > 0.7 * width THEN 0 WHEN (x0 + x1) / 2 <= width / 2 THEN 1 ELSE 2 END AS zone FROM w),
+    c AS (SELECT *, sum((zone = 1)::INT) OVER p >= 3 AND sum((zone = 2)::INT) OVER p >= 3 AS two FROM z WINDOW p AS (PARTITION BY doc_id, page)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN two THEN zone ELSE 0 END, y0, x0, block_id) AS n FROM c),
+    f AS (SELECT doc_id, page, n, block_id, 1 AS paragraph, x0 AS l, y1 AS b FROM o WHERE n = 1
+      UNION ALL SELECT o.doc_id, o.page, o.n, o.block_id, CASE WHEN abs(x0 - l) < 40 AND y0 - b <= 12 THEN paragraph ELSE paragraph + 1 END,
+        CASE WHEN abs(x0 - l) < 40 AND y0 - b <= 12 THEN least(l, x0) ELSE x0 END, CASE WHEN abs(x0 - l) < 40 AND y0 - b <= 12 THEN greatest(b, y1) ELSE y1 END FROM f JOIN o ON {_SAME})
+    SELECT doc_id, page, block_id, paragraph FROM f""")
 def paragraph_merge(spark: SparkSession, sf: str) -> DataFrame:
     return layout.paragraphs(_blocks(spark, sf), "block_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, block_id) AS n FROM text_blocks),
+    f AS (SELECT doc_id, page, n, block_id, 1 AS line, y0 AS top FROM o WHERE n = 1
+      UNION ALL SELECT o.doc_id, o.page, o.n, o.block_id, CASE WHEN abs(y0 - top) < 5 THEN line ELSE line + 1 END, CASE WHEN abs(y0 - top) < 5 THEN top ELSE y0 END FROM f JOIN o ON {_SAME})
+    SELECT doc_id, page, block_id, line FROM f""")
 def line_grouping(spark: SparkSession, sf: str) -> DataFrame:
     return layout.lines(_blocks(spark, sf), "block_id")
 
 
+_BARE = r"regexp_replace(text, '^[\s\p{Z}\x1c-\x1f\x{85}]+|[\s\p{Z}\x1c-\x1f\x{85}]+$', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT * REPLACE ({_BARE} AS text) FROM text_blocks),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY block_id) AS n FROM t WHERE source = 'ocr' AND text <> '' AND confidence >= 0),
+    f AS (SELECT doc_id, page, n, text, x0, x1, y1, confidence, 1 AS line, y0 AS top FROM o WHERE n = 1
+      UNION ALL SELECT o.doc_id, o.page, o.n, o.text, o.x0, o.x1, o.y1, o.confidence, CASE WHEN abs(y0 - top) < 10 THEN line ELSE line + 1 END, CASE WHEN abs(y0 - top) < 10 THEN least(top, y0) ELSE y0 END FROM f JOIN o ON {_SAME})
+    SELECT doc_id, page, line, count(*) AS words, md5(string_agg(text, ' ' ORDER BY n)) AS text_md5, round(min(x0), 6) AS x0, round(min(top), 6) AS y0, round(max(x1), 6) AS x1, round(max(y1), 6) AS y1, round(avg(confidence), 6) AS confidence FROM f GROUP BY ALL""")
+def recognised_lines(spark: SparkSession, sf: str) -> DataFrame:
+    words = _blocks(spark, sf).filter("source = 'ocr'").withColumn("confidence", F.col("confidence") * 100)
+    found = layout.recognised_lines(words, "block_id")
+    return found.select("doc_id", "page", "line", "words", F.md5("text").alias("text_md5"), *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1", "confidence")])
+
+
+_ROWS = f"""t AS (SELECT * REPLACE ({_BARE} AS text), (y0 + y1) / 2 AS middle FROM text_blocks),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY middle, block_id) AS n FROM t WHERE text <> ''),
+    f AS (SELECT doc_id, page, n, block_id, text, x0, 1 AS row, middle AS anchor FROM o WHERE n = 1
+      UNION ALL SELECT o.doc_id, o.page, o.n, o.block_id, o.text, o.x0, CASE WHEN abs(middle - anchor) < 5 THEN row ELSE row + 1 END, CASE WHEN abs(middle - anchor) < 5 THEN anchor ELSE middle END FROM f JOIN o ON {_SAME}),
+    r AS (SELECT doc_id, page, row, string_agg(text, chr(9) ORDER BY x0, block_id) AS text FROM f GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_ROWS} SELECT doc_id, page, row, md5(text) AS text_md5 FROM r")
+def tab_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.tab_rows(_blocks(spark, sf), "block_id").select("doc_id", "page", "row", F.md5("text").alias("text_md5"))
+
+
+@query(rf"""WITH RECURSIVE {_ROWS}, g AS (SELECT *, contains(text, chr(9)) AND contains(text, '的') AS in_table FROM r),
+    l AS (SELECT *, coalesce(lag(in_table) OVER (PARTITION BY doc_id, page ORDER BY row), false) AS before FROM g)
+    SELECT doc_id, page, row, in_table, md5(CASE WHEN in_table THEN CASE WHEN before THEN '' ELSE '| 术语 | 释义 |' || chr(10) || '|------|------|' || chr(10) END
+      || '| ' || regexp_replace(string_split(text, chr(9))[1], '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') || ' | ' || regexp_replace(regexp_replace(text, '^[^\t]*\t', ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') || ' |' ELSE text END) AS markdown_md5 FROM l""")
+def glossary_tables(spark: SparkSession, sf: str) -> DataFrame:
+    rows = layout.tab_rows(_blocks(spark, sf), "block_id")
+    return layout.glossary_rows(rows, "的").select("doc_id", "page", "row", "in_table", F.md5("markdown").alias("markdown_md5"))
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT *, greatest(1.0, y1 - y0) AS h, (y0 + y1) / 2 AS m, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, block_id) AS n FROM text_blocks),
+    f AS (SELECT doc_id, page, n, block_id, x0, 1 AS line, [{{'m': m, 'h': h}}] AS refs FROM o WHERE n = 1
+      UNION ALL SELECT doc_id, page, n, block_id, x0, CASE WHEN home > 0 THEN home ELSE len(refs) + 1 END, CASE WHEN home > 0 THEN refs ELSE list_append(refs, {{'m': m, 'h': h}}) END
+        FROM (SELECT o.doc_id, o.page, o.n, o.block_id, o.x0, o.m, o.h, refs, coalesce(list_position(list_transform(refs, lambda a: abs(o.m - a.m) <= least(o.h, a.h) * 0.5), true), 0) AS home FROM f JOIN o ON {_SAME}))
+    SELECT doc_id, page, block_id, line, row_number() OVER (PARTITION BY doc_id, page ORDER BY line, x0, n) AS place FROM f""")
+def reading_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.reading_lines(_blocks(spark, sf), "block_id")
+
+
+@query("SELECT block_id, row_number() OVER (PARTITION BY doc_id, page ORDER BY round_even(y0 / 10, 0), x0, block_id) AS place FROM text_blocks")
+def bucket_order(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.bucket_order(_blocks(spark, sf), "block_id").select("block_id", "place")
+
+
+@query()
+def page_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.element_markdown(layout.page_elements(_blocks(spark, sf), "block_id"))
+
+
+@query("""SELECT block_id, count(*) OVER (PARTITION BY doc_id) AS total_blocks, text, block_type FROM text_blocks""")
+def block_json(spark: SparkSession, sf: str) -> DataFrame:
+    found = layout.block_json(_blocks(spark, sf), "block_id")
+    return found.select("block_id", "total_blocks", F.get_json_object("json", "$.text").alias("text"), F.get_json_object("json", "$.block_type").alias("block_type"))
+
+
+@query(f"""WITH c AS (SELECT block_id, {_LINE} AS t FROM text_blocks WHERE text IS NOT NULL AND coalesce(block_type, '') NOT IN ('header', 'footer'))
+    SELECT block_id, s // 30 AS n, CASE WHEN length(t) <= 40 THEN t ELSE substr(t, s + 1, 40) END AS chunk FROM (SELECT block_id, t, unnest(CASE WHEN length(t) <= 40 THEN [0] ELSE range(0, length(t), 30) END) AS s FROM c)""")
+def block_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.block_chunks(_blocks(spark, sf), "block_id", 40, 10).withColumn("n", F.col("n").cast("bigint"))
+
+
+def _spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks as spans: one block a page, lines of 20 points, flags by page."""
+    t = _blocks(spark, sf).filter("text is not null")
+    return t.select("doc_id", "page", F.lit(0).alias("block"), F.floor(F.col("y0") / 20).alias("line"), F.col("block_id").alias("span"), "text", *layout.BOX, F.coalesce("block_type", F.lit("none")).alias("font"), (F.col("y1") - F.col("y0")).alias("size"), (F.col("page") % 32).alias("flags"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, page, floor(y0 / 20) AS line, block_id AS span, {_BARE} AS text, x0, y0, x1, y1, coalesce(block_type, 'none') AS font, y1 - y0 AS size FROM text_blocks WHERE text IS NOT NULL),
+    k AS (SELECT * FROM s WHERE text <> ''), n AS (SELECT doc_id, page, line, count(*) AS span_count FROM s GROUP BY ALL),
+    fc AS (SELECT doc_id, page, line, font, count(*) AS c FROM k GROUP BY ALL), ff AS (SELECT doc_id, page, line, font FROM fc QUALIFY row_number() OVER (PARTITION BY doc_id, page, line ORDER BY c DESC, font) = 1),
+    g AS (SELECT doc_id, page, line, list_reduce(list(text ORDER BY span), lambda a, b: a || CASE WHEN regexp_matches(right(a, 1), '[\\x{{4e00}}-\\x{{9fff}}]') AND regexp_matches(left(b, 1), '[\\x{{4e00}}-\\x{{9fff}}]') THEN '' ELSE ' ' END || b) AS t,
+      round(avg(size), 6) AS font_size, round(min(x0), 6) AS x0, round(max(y1), 6) AS y1 FROM k GROUP BY ALL)
+    SELECT g.doc_id, g.page, g.line::BIGINT AS line, md5(t) AS text_md5, font, font_size, x0, y1, (g.page % 32) & 16 <> 0 AS is_bold, (g.page % 32) & 2 <> 0 AS is_italic, span_count
+    FROM g JOIN ff ON g.doc_id IS NOT DISTINCT FROM ff.doc_id AND g.page = ff.page AND g.line = ff.line JOIN n ON g.doc_id IS NOT DISTINCT FROM n.doc_id AND g.page = n.page AND g.line = n.line""")
+def span_lines(spark: SparkSession, sf: str) -> DataFrame:
+    found = layout.native_blocks(_spans(spark, sf))
+    return found.select("doc_id", "page", "line", F.md5("text").alias("text_md5"), "font", F.round("font_size", 6).alias("font_size"), F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"), "is_bold", "is_italic", "span_count")
+
+
+@query("SELECT block_id, round(greatest(x1 - x0, 0), 6) AS width, round(greatest(y1 - y0, 0), 6) AS height, round(greatest(x1 - x0, 0) * greatest(y1 - y0, 0), 6) AS area, round((x0 + x1) / 2, 6) AS center_x, round((y0 + y1) / 2, 6) AS center_y FROM text_blocks")
+def box_measures(spark: SparkSession, sf: str) -> DataFrame:
+    m = recognition.measures(*[F.col(c) for c in layout.BOX])
+    return _blocks(spark, sf).select("block_id", m.alias("m")).select("block_id", *[F.round(F.col("m")[c], 6).alias(c) for c in ("width", "height", "area", "center_x", "center_y")])
+
+
+@query("""WITH c AS (SELECT block_id, greatest(0.0, least(x0, 499.0)) AS a, greatest(0.0, least(y0, 699.0)) AS b, greatest(0.0, least(x1, 499.0)) AS c, greatest(0.0, least(y1, 699.0)) AS d, x0, y0, x1, y1 FROM text_blocks)
+    SELECT block_id, round(a, 6) AS x0, round(b, 6) AS y0, round(c, 6) AS x1, round(d, 6) AS y1, round(least(x1 - x0, y1 - y0), 6) AS shorter, round((x1 - x0) * 1.6::DOUBLE, 6) AS wider FROM c WHERE x1 > x0 AND y1 > y0""")
+def box_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes clipped to an image; their corners, shuffled, put in order, and moved apart."""
+    t = _blocks(spark, sf).filter("x1 > x0 and y1 > y0")
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    mixed = recognition.corners(F.array(point("x1", "y1"), point("x0", "y1"), point("x0", "y0"), point("x1", "y0")))
+    box = recognition.clipped(F.array(*layout.BOX), F.lit(500.0), F.lit(700.0))
+    wide = recognition.bounds(recognition.expanded(mixed))
+    return t.select("block_id", *[F.round(box[i], 6).alias(c) for i, c in enumerate(layout.BOX)], F.round(recognition.shorter_side(mixed), 6).alias("shorter"), F.round(wide[2] - wide[0], 6).alias("wider"))
+
+
+@query("""SELECT block_id FROM text_blocks WHERE x1 - x0 >= 6 AND y1 - y0 >= 6 AND (x1 - x0) / greatest(y1 - y0, 1) BETWEEN 0.08::DOUBLE AND 40 AND trim(coalesce(text, '')) <> '' AND confidence >= 0.45::DOUBLE""")
+def recognised_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return recognition.usable_texts(_blocks(spark, sf)).select("block_id")
+
+
+@query("SELECT block_id FROM text_blocks WHERE confidence >= 0.45::DOUBLE AND x1 - x0 >= 4 AND y1 - y0 >= 4 AND (x1 - x0) * (y1 - y0) >= 16")
+def detected_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return recognition.usable_boxes(_blocks(spark, sf), "confidence").select("block_id")
+
+
+@query("""WITH s AS (SELECT user_id, left(event_type, 1) AS symbol, value, lag(left(event_type, 1)) OVER w AS before, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    e AS (SELECT *, symbol <> 'e' AND symbol IS DISTINCT FROM before AS kept FROM s)
+    SELECT user_id, coalesce(string_agg(symbol, '' ORDER BY n) FILTER (kept), '') AS text, count(*) FILTER (kept) AS emitted, coalesce(round(avg(value) FILTER (kept), 6), 0.0) AS score FROM e GROUP BY user_id""")
+def collapsed_steps(spark: SparkSession, sf: str) -> DataFrame:
+    steps = table(spark, sf, "events").withColumn("symbol", F.substring("event_type", 1, 1))
+    return recognition.collapsed(steps, ["user_id"], ["ts", "event_id"], "symbol", "value", "e").withColumn("score", F.round("score", 6))
+
+
+@query("SELECT DISTINCT doc_id, page FROM text_blocks WHERE source IN ('native', 'ocr')")
+def source_pages(spark: SparkSession, sf: str) -> DataFrame:
+    t = _blocks(spark, sf)
+    return t.filter("source = 'native'").select(*layout.PAGE).union(t.filter("source = 'ocr'").select(*layout.PAGE)).distinct()
+
+
+@query("""WITH c AS (SELECT doc_id, page, source, count(*) AS n FROM text_blocks GROUP BY ALL),
+    s AS (SELECT doc_id, page, source AS main_source FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, source) = 1),
+    t AS (SELECT doc_id, page, count(*) AS blocks, round(avg(confidence), 6) AS mean_confidence FROM text_blocks GROUP BY ALL)
+    SELECT t.*, main_source FROM t JOIN s ON t.doc_id IS NOT DISTINCT FROM s.doc_id AND t.page = s.page""")
+def page_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.page_summary(_blocks(spark, sf))
+
+
 @query()
 def unique_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return layout.unique_boxes(_blocks(spark, sf), "block_id")
@@ -440,6 +728,26 @@ def qa_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return memory.pairs(_messages(spark, sf)).select("session", "turn", F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"))
 
 
+@query(rf"""WITH {_MESSAGES}, u AS (SELECT session, turn, regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM m WHERE role = 'user'),
+    l AS (SELECT * FROM u WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY session ORDER BY turn DESC) <= 4)
+    SELECT session, left(string_agg('用户: ' || left(t, 120), chr(10) ORDER BY turn), 300) AS history FROM l GROUP BY session""")
+def rewriting_history(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.rewriting_history(_messages(spark, sf))
+
+
+@query(f"""WITH {_MESSAGES}, n AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS a FROM m WINDOW w AS (PARTITION BY session ORDER BY turn)),
+    p AS (SELECT session, turn, text, a FROM n WHERE role = 'user' AND r = 'assistant' QUALIFY row_number() OVER (PARTITION BY session ORDER BY turn DESC) <= 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn DESC) AS i FROM p)
+    SELECT session AS query_id, string_agg('[记忆' || i || '] 历史问题：' || CASE WHEN length(text) > 60 THEN left(text, 60) || '...' ELSE text END || chr(10) || '[记忆' || i || '] 历史回答：' || CASE WHEN length(a) > 180 THEN left(a, 180) || '...' ELSE a END,
+      chr(10) || chr(10) ORDER BY i) AS context FROM k GROUP BY session""")
+def memory_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The last two turns of every session as context."""
+    m = _messages(spark, sf)
+    w = Window.partitionBy("session").orderBy(F.col("turn").desc())
+    last = memory.pairs(m).select("session", F.col("turn").alias("key"), F.row_number().over(w).alias("rank")).filter("rank <= 2")
+    return memory.recalled_context(last.withColumn("query_id", F.col("session")), m)
+
+
 @query()
 def memory_recall(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "retrieval_gt").select("query_id", (F.col("query_id") % 50).alias("session"), "query")
@@ -487,6 +795,22 @@ def gt_auto_label(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.auto_labels(_judged(spark, sf)[0], 30.0).select("query_id", F.array_join("gt", "|").alias("gt"))
 
 
+_GIVEN = "SELECT query_id, query FROM retrieval_gt WHERE query_id % 100 = 0"
+
+
+@query(f"""WITH {_hits_sql(_GIVEN)}, hs AS (SELECT query_id, chunk_id FROM h JOIN all_documents ON row_id = key),
+    g AS (SELECT query_id, list_distinct(coalesce(gt, [])) AS gt FROM retrieval_gt WHERE query_id % 100 = 0),
+    x AS (SELECT g.query_id, gt, list(chunk_id) FILTER (chunk_id IS NOT NULL) AS ids FROM g LEFT JOIN hs USING (query_id) GROUP BY ALL),
+    y AS (SELECT query_id, len(gt) AS wanted, coalesce(len(ids), 0) AS retrieved, coalesce(len(list_filter(ids, lambda i: list_contains(gt, i))), 0) AS in_gt, coalesce(len(list_distinct(list_filter(ids, lambda i: list_contains(gt, i)))), 0) AS hit FROM x)
+    SELECT query_id, retrieved, hit, CASE WHEN wanted > 0 THEN round(hit::DOUBLE / wanted, 6) ELSE 0.0 END AS recall, CASE WHEN retrieved > 0 THEN round(in_gt::DOUBLE / retrieved, 6) ELSE 0.0 END AS precision,
+      CASE WHEN retrieved > 0 THEN round(1 - in_gt::DOUBLE / retrieved, 6) ELSE 0.0 END AS noise FROM y""")
+def given_truth_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of the questions with a given truth, judged by it."""
+    t = table(spark, sf, "retrieval_gt").filter("query_id % 100 = 0")
+    hits = bm25.search(t.select("query_id", "query"), _chunks(spark, sf), "key", "text").join(_chunks(spark, sf).select("key", "chunk_id"), "key")
+    return evaluation.retrieval_metrics(hits, t.select("query_id", "gt"))
+
+
 @query("""WITH u AS (SELECT * FROM reranker_triplets WHERE trim(coalesce(query, '')) <> '' AND trim(coalesce(positive_doc, '')) <> '' AND trim(coalesce(negative_doc, '')) <> '')
     SELECT triplet_id, query, positive_doc AS passage, 1 AS label FROM u UNION ALL SELECT triplet_id, query, negative_doc, 0 FROM u""")
 def training_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -64,6 +64,15 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files give fewer: a small table in one row group would keep one core busy.
+
+    Large tables have more partitions than cores and pass as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     """Hint a broadcast of df if `rows` (a proven bound) fits under BROADCAST_LIMIT."""
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_LIMIT else df
