@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import chunking, metrics, similarity, text
-from siltstone.operators import bm25, evaluation, filters, fusion, layout, memory, recognition, rerank, search, tools, vector
+from siltstone.operators import answering, bm25, evaluation, filters, fusion, layout, memory, recognition, rerank, search, tools, vector
 from siltstone.runtime import table
 from siltstone.sources import readers
 
@@ -442,6 +442,28 @@ def judge_top1(spark: SparkSession, sf: str) -> DataFrame:
     return tools.relevant_enough(_hits(spark, sf), 20.0)
 
 
+@query(rf"""WITH {_HITS}, t AS (SELECT query_id, regexp_replace(coalesce(query, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS raw FROM q),
+    b AS (SELECT *, regexp_replace(lower(raw), '[？?！!，,。.；;：:\s\p{{Z}}]+', '', 'g') AS bare FROM t),
+    n AS (SELECT query_id, CASE WHEN regexp_matches(bare, '你是谁|你是什么模型|介绍一下你自己|请介绍你自己|你好|您好|hello|你能做什么') OR regexp_matches(lower(raw), '请介绍.*你自己|(^|[^\p{{L}}\p{{N}}_])hi($|[^\p{{L}}\p{{N}}_])|hello') THEN 'chat'
+        WHEN regexp_matches(bare, '这个怎么样|这个呢|那这个呢|那它呢|这个公司怎么样') OR length(bare) <= 2 THEN 'unclear' ELSE 'rag_qa' END AS intent,
+      raw <> '' AND (regexp_matches(raw, '它|他|她|这家|那家|该公司|其|这个|那个|前者|后者|那|然后|再|接着|另外|还有|以及|如何|多少|吗|对比|比较|分别|各自|汇总|总结|筛选|排除|不包括|除了|排名|前五|前十|top|bottom|比|较|更|多|少')
+        OR length(raw) > 15 AND NOT (regexp_matches(raw, '公司|集团|银行|证券|保险|科技|信息|股份|控股|有限') AND regexp_matches(raw, '营收|收入|利润|毛利率|净利率|同比|环比|估值|PE|PB|ROE|现金流|资产负债率'))) AS rewriting FROM b),
+    k AS (SELECT query_id, count(*) AS hits, max(score) FILTER (rank = 1) AS top FROM h GROUP BY ALL)
+    SELECT query_id, intent, rewriting, coalesce(hits, 0) AS hits, CASE WHEN intent = 'chat' THEN 'chat' WHEN intent = 'rag_qa' AND coalesce(top >= 60, false) THEN 'answer' ELSE 'fallback' END AS outcome FROM n LEFT JOIN k USING (query_id)""")
+def question_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return answering.outcomes(_asked(spark, sf), _hits(spark, sf), 60.0)
+
+
+@query(f"""WITH {_HITS}, {_PART}, best AS (SELECT query_id FROM h WHERE rank = 1 AND score >= 20), places AS (SELECT query_id, coalesce(file_name, '') AS file, coalesce(page_num::VARCHAR, '') AS page, min(rank) AS rank FROM hf GROUP BY ALL),
+    l AS (SELECT query_id, string_agg('- ' || file || '，第' || page || '页', chr(10) ORDER BY rank) AS sources FROM places GROUP BY query_id),
+    x AS (SELECT query_id, md5(string_agg('[片段' || rank || ']' || chr(10) || {_ORIGIN} || '内容: ' || CASE WHEN length(content) > 500 THEN left(content, 500) || '...' ELSE content END || chr(10), chr(10) ORDER BY rank)) AS context_md5 FROM hf GROUP BY query_id)
+    SELECT query_id, query, context_md5, sources FROM q JOIN best USING (query_id) JOIN x USING (query_id) JOIN l USING (query_id)""")
+def answer_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _hits(spark, sf).join(_chunks(spark, sf), "key")
+    return answering.prompts(_asked(spark, sf), hits, 20.0).select("query_id", "query", F.md5("context").alias("context_md5"), "sources")
+
+
+
 # --- metrics -----------------------------------------------------------------------------
 
 _YEARS = """t AS (SELECT year(o_orderdate) AS year, sum(o_totalprice::DECIMAL(20,6))::DECIMAL(20,6) AS total FROM orders GROUP BY ALL),

@@ -61,7 +61,19 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def done_with(df: DataFrame) -> None:
+    """Removes the table behind what `cut` gave, once nothing reads it any more; other frames are left alone."""
+    held = _PATHS.pop(id(df), None)
+    if held is not None:
+        _remove(df.sparkSession, held[1])
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -76,3 +76,16 @@ def front_text(pages_table: DataFrame, doc: str = "doc_id", most: int = 3) -> Da
     front = pages_table.filter((F.col("page_num") <= most) & (F.trim("content") != ""))
     texts = F.array_sort(F.collect_list(F.struct("page_num", "content")))
     return front.groupBy(F.col(doc).alias("doc_id")).agg(F.array_join(F.transform(texts, lambda x: x["content"]), "\n").alias("text"))
+
+
+def some_pdf_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """As pdf_files, but fails at once where there is none."""
+    found = pdf_files(spark, folder, recursive)
+    if found.select("path").limit(1).count() == 0:
+        raise ValueError(f"no PDF files in {folder}")
+    return found
+
+
+def vector_store(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors that writers.vector_store wrote."""
+    return spark.read.parquet(path)
