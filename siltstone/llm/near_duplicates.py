@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.repeated_lines import excess_lines, keyed_rows, line_keys, prepared
-from siltstone.runtime import cut, small
+from siltstone.runtime import cut, done_with, small
 
 SHINGLE = 5
 #: Hash functions, tries, and hashes that one trie's full key holds.
@@ -291,7 +291,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, for links (a, b).
 
     Alternating large-star and small-star steps; every step writes the links to
-    the shared folder, and the number of links never grows.
+    the shared folder in place of the last, and the number of links never grows.
     """
     edges = cut(links.select("a", "b").filter("a <> b").distinct(), "links")
     before = None
@@ -301,7 +301,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        edges = cut(star.select(F.col("b").alias("a"), F.col("a").alias("b")), "links")
+        last, edges = edges, cut(star.select(F.col("b").alias("a"), F.col("a").alias("b")), "links")
+        done_with(last)
         # Sum over the links' ends: it falls with every step until nothing changes.
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
