@@ -1,7 +1,10 @@
 """Markup residue in text: which languages it has, and clean text without it.
 
 A lexer finds every place that may be a construct of HTML, Markdown, wiki text
-or LaTeX. Each place gets a cost for either reading, markup or content; places
+or LaTeX. A classifier of the places' forms gives each a cost for either reading,
+markup or content: log odds estimated on a bounded sample of the table's texts,
+from given priors, by labelling the sample with the cut and counting, in turns.
+Places
 near one another in the same language, and still more the two ends of one
 element and a tag and the tag around it, are tied by smoothness edges. A minimum cut (by maximum flow) parts
 the places that are markup from those that are content. The markup is then
@@ -15,11 +18,11 @@ import html
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +55,7 @@ class Place(NamedTuple):
     kind: str
     start: int
     end: int
+    form: str  # what the odds are counted by: the kind, and what its own text or place tells
     weight: float  # log odds of markup against content
     mate: int  # index of the place at the element's other end, or -1
     parent: int = -1  # index of the tag around this tag, or -1
@@ -96,18 +100,28 @@ _LANG = {
     **dict.fromkeys(("wikilink", "template", "wikihead", "wikiopen", "wikiclose", "wikirow", "wikicell", "quotes"), "wiki"),
     **dict.fromkeys(("env", "command", "escape", "mathopen", "math"), "latex"),
 }
-# Log odds of markup for each kind, before its neighbours are heard.
+# Log odds of markup for each form before any text is seen; `?` marks a form that speaks against it, `+` one that speaks for it.
 WEIGHTS = {
-    "comment": 4, "tag": 4, "cuttag": 1, "entity": 4, "wikilink": 3, "template": 3, "wikihead": 3, "wikiopen": 3, "wikiclose": 2, "wikirow": 0.5, "wikicell": 1, "quotes": -1, "env": 4, "command": 2,
-    "escape": 1.5, "mathopen": 1, "math": -1, "fence": 2, "image": 4, "mdlink": 3, "separator": 3, "row": 2.5, "code": 1.5, "heading": 1.5, "bold": -1, "strike": -0.5, "bullet": 0.8,
-    "number": -0.6, "blockquote": 1, "setext": 1, "rule": 0.2,
+    "comment": 4, "tag": 4, "tag?": -2, "cuttag": 1, "entity": 4, "entity?": -3, "wikilink": 3, "wikilink?": 0.2, "template": 3, "template?": 0.2, "wikihead": 3, "wikiopen": 3, "wikiclose": 2, "wikiclose?": 0.5,
+    "wikirow": 0.5, "wikirow?": -0.5, "wikicell": 1, "quotes": -1, "env": 4, "command": 2, "command?": -2, "command+": 0.5, "escape": 1.5, "mathopen": 1, "math": -1, "math+": 2, "fence": 2, "image": 4, "mdlink": 3, "separator": 3,
+    "row": 2.5, "code": 1.5, "heading": 1.5, "bold": -1, "strike": -0.5, "bullet": 0.8, "bullet?": -4, "number": -0.6, "number+": 1.2, "blockquote": 1, "setext": 1, "setext+": 2, "rule": 0.2,
 }
+# What the other end of an element adds.
+PAIRED = {"tag": 1, "fence": 1, "bold": 2.5, "strike": 2.5, "quotes": 2.5}
+_KINDS = [k for k in WEIGHTS if k[-1] not in "?+"]
+#: (form, whether its other end was found): log odds.
+Odds = dict[tuple[str, bool], float]
+PRIOR: Odds = {(f, paired): w + paired * PAIRED.get(f.rstrip("?+"), 0) for f, w in WEIGHTS.items() for paired in (False, True)}
+#: Texts, and their bytes together, that the odds are estimated on; the driver holds them.
+SAMPLE, SAMPLE_BYTES = 2_000, 8 << 20
+#: Rounds of estimation, places that a prior counts as, and the greatest odds either way.
+ROUNDS, PRIOR_PLACES, MOST_ODDS = 2, 50.0, 6.0
 _ONE_LINE = {"tag", "cuttag"}
 _PAGE = re.compile(r"[ \t]*[-*+][ \t]+\d{1,4}[ \t]*[-*+]?[ \t]*$", re.M)
 _FORMULA = re.compile(r"[\\^_{}]|[=+<>].*[A-Za-z]|[A-Za-z].*[=+<>]")
 
 
-def places(text: str) -> list[Place]:
+def places(text: str, odds: Odds = PRIOR) -> list[Place]:
     """Every place that may be markup, in order, with the odds that its own form and its element give."""
     out: list[Place] = []
     around: list[tuple[str, int]] = []  # open tags, the innermost last
@@ -116,51 +130,51 @@ def places(text: str) -> list[Place]:
     wiki_table = False
     last_number: tuple[int, int, int] | None = None
 
-    def pair(a: int, b: int, gain: float) -> None:
-        out[a] = out[a]._replace(mate=b, weight=out[a].weight + gain)
-        out[b] = out[b]._replace(mate=a, weight=out[b].weight + gain)
+    def pair(a: int, b: int) -> None:
+        out[a] = out[a]._replace(mate=b)
+        out[b] = out[b]._replace(mate=a)
 
     for m in _LEX.finditer(text):
-        kind = m.lastgroup if m.lastgroup in WEIGHTS else next(k for k in WEIGHTS if m.group(k) is not None)
-        lang, weight, i = _LANG.get(kind, "markdown"), float(WEIGHTS[kind]), len(out)
+        kind = m.lastgroup if m.lastgroup in WEIGHTS else next(k for k in _KINDS if m.group(k) is not None)
+        lang, sure, i = _LANG.get(kind, "markdown"), "", len(out)
         if fence >= 0 and kind != "fence":
             if lang != "html" or kind == "comment":
                 continue  # inside a code block nothing else is markup
         if kind == "wikicell" and not wiki_table:
             continue
         if kind == "tag" and m.group("name").lower() not in ELEMENTS:
-            weight = -2.0
+            sure = "?"
         elif kind == "entity" and html.unescape(m.group()) == m.group():
-            weight = -3.0
+            sure = "?"
         elif kind in ("wikilink", "template") and not m.group().endswith(("]]", "}}")):
-            weight = 0.2
+            sure = "?"
         elif kind in ("wikirow", "wikiclose") and not wiki_table:
-            weight = -0.5 if kind == "wikirow" else 0.5
+            sure = "?"
         elif kind in ("row", "separator") and wiki_table:
             lang, kind = "wiki", "wikirow"
         elif kind == "command" and not m.group("brace") and m.group("cmd") not in COMMANDS:
-            weight = 0.5 if not re.search(r"[A-Za-z]:?$|[\w.]\\[\w.]*$", text[max(0, m.start() - 12) : m.start()]) else -2.0
+            sure = "?" if re.search(r"[A-Za-z]:?$|[\w.]\\[\w.]*$", text[max(0, m.start() - 12) : m.start()]) else "+"
         elif kind == "setext" and not text[: m.start()].rstrip(" \t").endswith("\n\n") and text[: m.start()].strip():
-            weight = 2.0  # right under the line that it makes a heading
+            sure = "+"  # right under the line that it makes a heading
         elif kind == "math" and _FORMULA.search(m.group()):
-            weight = 2.0
+            sure = "+"
         elif kind == "bullet":
             if _PAGE.match(text, m.start()):
-                weight = -4.0
+                sure = "?"
         elif kind == "number":
             n, line = int(m.group("n")), text.count("\n", 0, m.start())
             if last_number and n == last_number[0] + 1 and line - last_number[1] <= 6:
-                out[last_number[2]] = out[last_number[2]]._replace(weight=max(1.0, out[last_number[2]].weight))
-                weight = 1.2
+                out[last_number[2]] = out[last_number[2]]._replace(form="number+")
+                sure = "+"
             last_number = (n, line, i)
-        out.append(Place(lang, kind, m.start(), m.end(), weight, -1))
+        out.append(Place(lang, kind, m.start(), m.end(), kind + sure, 0.0, -1))
         if kind == "wikiopen":
             wiki_table = True
         elif kind == "wikiclose":
             wiki_table = False
         elif kind == "fence":
             if fence >= 0:
-                pair(fence, i, 1.0)
+                pair(fence, i)
                 fence = -1
             else:
                 fence = i
@@ -171,17 +185,17 @@ def places(text: str) -> list[Place]:
             if m.group().startswith("</"):
                 at = next((k for k in range(len(around) - 1, -1, -1) if around[k][0] == name), -1)
                 if at >= 0:
-                    pair(around[at][1], i, 1.0)
+                    pair(around[at][1], i)
                     del around[at:]
             elif name not in VOID and not m.group().endswith("/>"):
                 around.append((name, i))
         elif kind in ("bold", "strike", "quotes"):
             mark = m.group()
             if mark in pending and "\n\n" not in text[out[pending[mark]].end : m.start()] and m.start() > out[pending[mark]].end:
-                pair(pending.pop(mark), i, 2.5)
+                pair(pending.pop(mark), i)
             else:
                 pending[mark] = i
-    return out
+    return [p._replace(weight=odds[p.form, p.mate >= 0]) for p in out]
 
 
 #: Smoothness: capacity between neighbours of one language, its reach in characters, and between the ends of an element.
@@ -246,14 +260,38 @@ def minimum_cut(found: list[Place]) -> list[bool]:
             b = to[e ^ 1]
 
 
-def markup_places(text: str) -> list[Place]:
+def markup_places(text: str, odds: Odds = PRIOR) -> list[Place]:
     """The places of a text in consistent form that the minimum cut takes for markup."""
-    found = places(text)
+    found = places(text, odds)
     return [p for p, keep in zip(found, minimum_cut(found), strict=True) if keep] if found else []
 
 
-def languages(text: str) -> list[str]:
-    return sorted({p.lang for p in markup_places(text)})
+def languages(text: str, odds: Odds = PRIOR) -> list[str]:
+    return sorted({p.lang for p in markup_places(text, odds)})
+
+
+def estimated(texts: list[str], rounds: int = ROUNDS) -> Odds:
+    """Odds of the forms, from texts in consistent form: labels by the cut under the odds so far, then counts of the labels with the priors."""
+    odds = PRIOR
+    for _ in range(rounds):
+        seen = {key: [0, 0] for key in PRIOR}
+        for text in texts:
+            found = places(text, odds)
+            for p, markup in zip(found, minimum_cut(found), strict=True):
+                seen[p.form, p.mate >= 0][markup] += 1
+        share = {key: 1 / (1 + math.exp(-w)) for key, w in PRIOR.items()}
+        ratio = {key: math.log((seen[key][True] + PRIOR_PLACES * q) / (seen[key][False] + PRIOR_PLACES * (1 - q))) for key, q in share.items()}
+        odds = {key: max(-MOST_ODDS, min(MOST_ODDS, x)) for key, x in ratio.items()}
+    return odds
+
+
+def fitted_odds(df: DataFrame, key: str, text: str, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Odds:
+    """Odds estimated on at most `sample` texts with signs of markup, the first by a hash of the key, of at most `sample_bytes` together."""
+    order = [F.xxhash64("_key"), "_key"]
+    rows = df.select(df[key].alias("_key"), df[text].alias("_text")).filter(F.col("_text").rlike(ANY_SIGN)).orderBy(*order).limit(sample)
+    total = F.sum(F.octet_length("_text")).over(Window.orderBy(*order))  # over `sample` rows
+    kept = rows.withColumn("_total", total).filter(F.col("_total") <= sample_bytes).select("_text").collect()
+    return estimated([canonical(r[0]) for r in kept])
 
 
 _BREAK = set("p div br tr table ul ol section article h1 h2 h3 h4 h5 h6 blockquote pre hr dl dt dd header footer".split())
@@ -306,12 +344,12 @@ def _plain(text: str, p: Place) -> str:
 
 
 
-def clean(text: str | None) -> str | None:
+def clean(text: str | None, odds: Odds = PRIOR) -> str | None:
     """text without its markup: headings as `#`, items as `-`, rows between `|`, code and formulas in their signs."""
     if not text:
         return text
     text = canonical(text)
-    found = markup_places(text)
+    found = markup_places(text, odds)
     if not found:
         return text
     out, at, open_braces = [], 0, []
@@ -347,28 +385,29 @@ def _close_braces(piece: str, opened: list[bool]) -> str:
     return piece
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _languages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: languages(canonical(t)) if t else None, na_action="ignore")
-
+def _by_text(function: Callable, kind: T.DataType) -> Callable[[Column], Column]:
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(function, na_action="ignore")
 
-@F.pandas_udf(T.StringType())
-def _clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(clean, na_action="ignore")
+    return run
 
 
-def without_markup(text: Column) -> Column:
+def without_markup(text: Column, odds: Odds = PRIOR) -> Column:
     """The clean text; a text without any sign of markup stays in the JVM and as it is. Null gives null."""
-    return F.coalesce(_clean(F.when(text.rlike(ANY_SIGN), text)), text)
+    cleaned = _by_text(lambda t: clean(t, odds), T.StringType())
+    return F.coalesce(cleaned(F.when(text.rlike(ANY_SIGN), text)), text)
 
 
-def markup_languages(df: DataFrame, key: str, text: str) -> DataFrame:
+def markup_languages(df: DataFrame, key: str, text: str, odds: Odds | None = None) -> DataFrame:
     """(row_id, markup): one row for each markup language of which a text has a construct.
 
-    Null, blank and empty texts have none; repeated rows are told apart by key
-    only; an empty table gives an empty result; other columns are ignored.
+    odds: those of `fitted_odds`, by default fitted on df. Null, blank and empty
+    texts have none; repeated rows are told apart by key only; an empty table
+    gives an empty result; other columns are ignored.
     """
+    own = fitted_odds(df, key, text) if odds is None else odds
+    found = _by_text(lambda t: languages(canonical(t), own) if t else None, T.ArrayType(T.StringType()))
     rows = df.select(df[key].alias("row_id"), df[text].alias("_text")).filter(F.col("_text").rlike(ANY_SIGN))
-    return rows.select("row_id", F.explode(_languages("_text")).alias("markup"))
+    return rows.select("row_id", F.explode(found("_text")).alias("markup"))

@@ -62,7 +62,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Every chunk without markup, its structure in one plain notation."""
     t = _texts(spark, sf, "all_documents")
-    return t.select("row_id", markup.without_markup(t["content"]).alias("clean_text"))
+    return t.select("row_id", markup.without_markup(t["content"], markup.fitted_odds(t, "row_id", "content")).alias("clean_text"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

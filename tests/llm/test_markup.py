@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm.markup import MATE, NESTED, TIE, Place, clean, languages, markup_languages, minimum_cut, places, without_markup
+from siltstone.llm.markup import MATE, MOST_ODDS, NESTED, PRIOR, TIE, Place, clean, estimated, fitted_odds, languages, markup_languages, minimum_cut, places, without_markup
 from siltstone.llm.textform import canonical
 
 
@@ -50,7 +50,7 @@ def test_cut_is_minimal():
         found, at = [], 0
         for _ in range(n):
             at += r.randint(1, 300)
-            found.append(Place(r.choice(["html", "wiki"]), "tag", at, at + 2, r.choice([-2.0, -0.5, 0.7, 3.0]), -1))
+            found.append(Place(r.choice(["html", "wiki"]), "tag", at, at + 2, "tag", r.choice([-2.0, -0.5, 0.7, 3.0]), -1))
         if n > 3:
             found[0], found[3] = found[0]._replace(mate=3), found[3]._replace(mate=0)
             found[2] = found[2]._replace(parent=r.choice([0, 1]))
@@ -94,3 +94,20 @@ def test_prefilter_takes_in_every_construct(spark):
     assert {r["row_id"] for r in got.collect()} == found and {1, 2, 3, 4} <= found
     texts = spark.createDataFrame([(t,) for t in rows], "t string").select("t", without_markup(F.col("t")).alias("c")).collect()
     assert all(r["c"] == clean(r["t"]) for r in texts if r["t"] != "plain words")
+
+
+def test_odds_are_estimated_from_the_texts():
+    """Items that stand among items nearly always gain odds; a form that no text shows keeps its prior, and none exceeds the bound."""
+    texts = ["".join(f"- 第{i}项内容\n" for i in range(8))] * 100 + ["1. 单独一行"] * 200 + ["毛利率<20%"]
+    odds = estimated(texts)
+    assert odds["bullet", False] > PRIOR["bullet", False] + 1 and odds["number", False] < PRIOR["number", False]
+    assert odds["comment", False] == pytest.approx(PRIOR["comment", False]) and max(map(abs, odds.values())) <= MOST_ODDS
+    assert estimated([]) == pytest.approx({k: max(-MOST_ODDS, min(MOST_ODDS, w)) for k, w in PRIOR.items()})
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, "- 甲\n- 乙\n" * 50, "x") for i in range(200)] + [(900, None, "y"), (901, "", "z")]
+    df = spark.createDataFrame(rows, "id bigint, body string, _text string")
+    few, many = fitted_odds(df, "id", "body", sample=3), fitted_odds(df, "id", "body", sample=150)
+    assert PRIOR["bullet", False] < few["bullet", False] < many["bullet", False]
+    assert fitted_odds(df, "id", "body", sample_bytes=1) == fitted_odds(df.limit(0), "id", "body")
