@@ -286,9 +286,13 @@ def estimated(texts: list[str], rounds: int = ROUNDS) -> Odds:
 
 
 def fitted_odds(df: DataFrame, key: str, text: str, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Odds:
-    """Odds estimated on at most `sample` texts with signs of markup, the first by a hash of the key, of at most `sample_bytes` together."""
+    """Odds estimated on at most `sample` texts with signs of markup, the first by a hash of the key, of at most `sample_bytes` together.
+
+    The hash leaves about eight times the sample before any text is looked at, so that no task gathers more, however large the table.
+    """
     order = [F.xxhash64("_key"), "_key"]
-    rows = df.select(df[key].alias("_key"), df[text].alias("_text")).filter(F.col("_text").rlike(ANY_SIGN)).orderBy(*order).limit(sample)
+    drawn = F.pmod(F.xxhash64("_key"), F.lit(1 << 40)) < F.lit(int(min(1.0, 8 * sample / max(1, df.count())) * (1 << 40)))
+    rows = df.select(df[key].alias("_key"), df[text].alias("_text")).filter(drawn & F.col("_text").rlike(ANY_SIGN)).orderBy(*order).limit(sample)
     total = F.sum(F.octet_length("_text")).over(Window.orderBy(*order))  # over `sample` rows
     kept = rows.withColumn("_total", total).filter(F.col("_total") <= sample_bytes).select("_text").collect()
     return estimated([canonical(r[0]) for r in kept])
