@@ -7,9 +7,10 @@ without tags and character entities. Lines without letters have no key.
 A line is tested within its source against all rows outside by the
 log-likelihood ratio, with the Benjamini-Hochberg step-up over all lines that
 reach the least support. Of the significant lines, those that stand in the given
-share of their source's rows are removed. A notice that the rows outside carry
-as well, in that share, is in excess nowhere: it stays, or, if wanted, is tested
-against the sources that don't repeat it.
+share of their source's rows are removed. All rows with text count as outside, those
+of sources with few rows and those without a source included. A notice that the
+rows outside carry as well, in that share, is in excess nowhere: it stays, or, if
+wanted, goes by its share alone.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.textform import BLANKS, INVISIBLE, QUICK_CHECK, canonical
-from siltstone.runtime import cut, small
+from siltstone.runtime import cut
 
 #: A row with a character outside this class has text.
 NOT_BLANK = f"[^\\s{BLANKS}{INVISIBLE}]"
@@ -31,6 +32,8 @@ NOT_BLANK = f"[^\\s{BLANKS}{INVISIBLE}]"
 TAG = "<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#\\d{1,6}|#x[0-9a-fA-F]{1,6});"
 #: Steps of the statistic for the false-discovery control, and the greatest told apart.
 STEP, TOP = 0.1, 1000.0
+#: Rows outside can be tested against if a line in the least share, which none of them holds, reaches this statistic (p 0.001).
+ENOUGH = 10.83
 _LN_SQRT_PI = 0.5723649429247001
 
 
@@ -140,38 +143,33 @@ def tested_lines(keyed: DataFrame, share: float = 0.2, least: int = 5, fdr: floa
     """(fid, k, a, n, g, significant): the lines k of each source with at least `least` rows, and what the test says of them.
 
     keyed: as from keyed_rows. a of the source's n rows hold the line; g is the
-    signed log-likelihood ratio against the rows of all other sources with at
-    least `least` rows; significant is whether g holds at false-discovery rate
-    `fdr` among all lines tested. With `common`, where `share` of the rows
-    outside hold the line too, the sources that repeat it in that share are no
-    evidence, and only the others count as outside; without, such a line is no
-    excess.
+    signed log-likelihood ratio against all rows outside, whether their source
+    has few rows or none is named; significant is whether g holds at
+    false-discovery rate `fdr` among all lines tested. Lines in `share` of their
+    source's rows have g at TOP where the rows outside are too few to test
+    against (ENOUGH), and, with `common`, where `share` of the rows outside hold
+    the line too; without `common`, such a line is no excess.
     """
-    named = keyed.filter("named")
-    # Sources with too few rows for a case of their own are no evidence either.
-    totals = cut(named.groupBy("fid").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "sources")
-    named = named.join(small(totals.select("fid"), totals.count(), 16), "fid", "left_semi")
+    totals = cut(keyed.groupBy("named", "fid").agg(F.count("*").alias("n")), "sources")
     whole = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_rows"))
+    # Both uses of the pairs need fid and k, so that they are filtered alike and share one shuffle.
     pairs = (
-        named.select("fid", F.explode(F.array_distinct("keys")).alias("k"))
-        .filter("k <> 0")
+        keyed.select("fid", F.explode(F.array_distinct("keys")).alias("k"))
+        .filter("fid is not null and k <> 0")
         .groupBy("fid", "k")
         .agg(F.count("*").alias("a"))
     )
-    family = pairs.filter(F.col("a") >= least).join(totals, "fid")
-    high = F.col("a") >= share * F.col("n")
-    repeated = family.groupBy("k").agg(F.sum(F.when(high, F.col("a")).otherwise(0)).alias("a_high"), F.sum(F.when(high, F.col("n")).otherwise(0)).alias("n_high"))
-    everywhere = pairs.join(repeated, "k").groupBy("k", "a_high", "n_high").agg(F.sum("a").alias("a_all"))
+    sizes = totals.filter(F.col("named") & (F.col("n") >= least)).select("fid", "n")
+    family = pairs.filter(F.col("a") >= least).join(sizes, "fid")
+    everywhere = pairs.join(family.select("k").distinct(), "k").groupBy("k").agg(F.sum("a").alias("a_all"))
     tested = family.join(everywhere, "k").crossJoin(F.broadcast(whole))  # one row
-    out, rows = F.col("a_all") - F.col("a"), F.col("all_rows") - F.col("n")
-    if common:
-        own = F.when(high, F.lit(0)).otherwise(1)
-        shared = out >= share * rows
-        out, rows = (
-            F.when(shared, F.col("a_all") - F.col("a_high") - own * F.col("a")).otherwise(out),
-            F.when(shared, F.col("all_rows") - F.col("n_high") - own * F.col("n")).otherwise(rows),
-        )
-    tested = tested.select("fid", "k", "a", "n", log_likelihood(F.col("a"), F.col("n"), out, rows).alias("g"))
+    a, n = F.col("a"), F.col("n")
+    out, rows = F.col("a_all") - a, F.col("all_rows") - n
+    shared = out >= share * rows
+    weakest = F.greatest(F.ceil(share * n), F.lit(least))
+    few = log_likelihood(weakest, n, F.lit(0), rows) < ENOUGH
+    untested = (a >= share * n) & ((shared | few) if common else (few & ~shared))
+    tested = tested.select("fid", "k", "a", "n", F.when(untested, F.lit(TOP)).otherwise(log_likelihood(a, n, out, rows)).alias("g"))
     tested = tested.withColumn("step", F.floor(F.least(F.col("g"), F.lit(TOP)) / STEP))
     # Step-up on a histogram of the statistic: at most TOP / STEP rows, whatever the data.
     steps = tested.groupBy("step").agg(F.count("*").alias("c"))

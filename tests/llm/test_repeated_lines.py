@@ -111,6 +111,31 @@ def test_the_likelihood_test_decides(spark):
     assert (0, "单位万元") in removed(spark, fdr=0.9999)
 
 
+def scattered():
+    """A source of 50 rows, 40 sources of one row each and 30 rows without a source, which hold one of its two lines nearly as often."""
+    text = lambda i, *lines: "\n".join((f"正文{chr(0x4E00 + i)}{chr(0x5E00 + i)}", *lines))
+    out = [(i, "甲", text(i, *["本社版权"] * (i < 12), *["单位万元"] * (i < 10))) for i in range(50)]
+    out += [(100 + i, f"单{i}", text(50 + i, *["单位万元"] * (i < 6))) for i in range(40)]
+    return out + [(200 + i, None, text(90 + i, *["单位万元"] * (i < 7))) for i in range(30)]
+
+
+def test_rows_of_few_and_of_no_source_count_outside(spark):
+    df = spark.createDataFrame(scattered(), "row_id bigint, file_name string, content string")
+    got = {(r["a"], r["n"]): (round(r["g"], 6), r["significant"]) for r in lines_tested(keyed_rows(df, "row_id", "file_name", "content")).collect()}
+    g = lambda *x: round(spark.range(1).select(log_likelihood(*[F.lit(v) for v in x])).first()[0], 6)
+    assert got == {(12, 50): (g(12, 50, 0, 70), True), (10, 50): (g(10, 50, 13, 70), False)}
+    assert {tuple(r) for r in repeated_lines(df, "row_id", "file_name", "content").collect()} == {(i, 2) for i in range(12)}
+
+
+@pytest.mark.parametrize("strays", [1, 3, 10])
+def test_few_rows_outside_lose_no_line(spark, strays):
+    """Too few to test against: the share decides, as it does without rows outside."""
+    data = [(i, "甲", f"正文{chr(0x4E00 + i)}" + "\n声明" * (i < 10)) for i in range(50)]
+    data += [(100 + i, f"单{i}", f"其他{chr(0x5E00 + i)}") for i in range(strays)]
+    df = spark.createDataFrame(data, "row_id bigint, file_name string, content string")
+    assert {tuple(r) for r in repeated_lines(df, "row_id", "file_name", "content").collect()} == brute(data) == {(i, 2) for i in range(10)}
+
+
 def test_tested_lines_against_a_binomial_family(spark):
     """The step-up over all tested lines, redone in plain Python."""
     import math
