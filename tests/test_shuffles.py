@@ -44,6 +44,11 @@ def test_metrics_of_every_question(spark, small):
     assert catalog.QUERIES["retrieval_metrics_avg"](spark, small).first()["queries"] == asked
 
 
+def test_sources_of_every_question(spark, small):
+    asked = catalog._every_asked(spark, small)
+    assert catalog.QUERIES["source_list"](spark, small).select("query_id").distinct().count() == asked.count() > catalog._asked(spark, small).count()
+
+
 def test_metrics_by_source(spark):
     """Equal to those by arrays: ids that repeat in a query or in another file, ids and files that are null."""
     hits = spark.createDataFrame([(1, 1, "a", "f"), (1, 2, "a", "f"), (1, 3, "z", "g"), (1, 4, "b", "g"), (2, 1, None, "f"), (2, 2, None, "g"), (3, 1, "n", None), (4, 1, None, "h"), (5, 1, "z", "g"), (5, 2, None, "f")], "query_id int, rank int, chunk_id string, source string")
