@@ -32,7 +32,7 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["structured_search", "rerank_max_segment", "retrieval_metrics_avg", "source_list", "hit_dedup"])
+@pytest.mark.parametrize("name", ["structured_search", "rerank_max_segment", "retrieval_metrics_avg", "source_list", "hit_dedup", "result_normalised"])
 def test_no_pairs(spark, many, name):
     before = shuffled(spark)
     assert catalog.QUERIES[name](spark, many).count() > 0
